@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import byte_bpe, langid, line_dedup, mixing
+from glyphmill.llm import byte_bpe, jaccard_join, langid, line_dedup, mixing
 from glyphmill.llm.common import fresh_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,6 +35,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(kept.withColumn("n_chars", F.length("text").cast("long")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one with the smallest doc_id stays, with all rows of that id; documents without words or id stay."""
+    found = jaccard_join.jaccard_components(docs)
+    kept = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return _documents(out)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as many times as the words that the mix takes hold it whole, to the nearest number; 0 times: it goes."""
     found = mixing.mix(docs, keep=("text", "lang", "source", "n_chars"))
@@ -50,6 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("line_dedup", dedup_lines),
+    ("jaccard_join", near_duplicates),
     ("mixing", mix_sources),
     ("byte_bpe", encode),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import byte_bpe, langid, line_dedup, media, mixing, token_counts, warc
+from glyphmill.llm import byte_bpe, jaccard_join, langid, line_dedup, media, mixing, pii, token_counts, vector_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op6_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.vector_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -55,8 +67,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_line_dedup, op4_mixing, op8_token_counts, op9_media, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_line_dedup, op4_mixing, op5_pii, op6_vector_join, op7_jaccard_join, op8_token_counts, op9_media, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op6_vector_join": vector_join.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE}
