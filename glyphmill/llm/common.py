@@ -1,47 +1,17 @@
-"""Shared folder, materialisation and small column helpers."""
+"""What the operators of this folder share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_WORKER: dict = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where that is unset (tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from glyphmill.operators.storage import fresh_path, materialize, shared_dir  # noqa: F401
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors, and gives the planner real sizes."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate folder that no returned DataFrame reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+_WORKER: dict = {}
 
 
 def one(df: DataFrame, *cols: str) -> DataFrame:
