@@ -115,7 +115,7 @@ def spokes(edges: DataFrame, u: DataFrame, *, cutoff: float = 1e-2, max_conducta
             for v in sorted(out.get(node, ())):
                 if v not in seen:
                     seen.add(v)
-                    heapq.heappush(heap, (-score[v], -v))
+                    heapq.heappush(heap, (-score.get(v, 0.0), -v))  # rows without entries have no u
 
         offer(seed)
         while heap:
