@@ -90,7 +90,7 @@ def _gif(data: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _riff(data: bytes, at: int) -> tuple[str, int] | None:
-    """The outer size, the form type, and chunks that fill the outer size exactly."""
+    """The outer size, the form type, and chunks that fill the outer size (some writers leave out the last pad byte)."""
     if at + 12 > len(data):
         return None
     size, form = struct.unpack_from("<I4s", data, at + 4)
@@ -103,7 +103,7 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
         name, length = struct.unpack_from("<4sI", data, pos)
         names.add(name)
         pos += 8 + length + length % 2
-    if pos != end or kind == "audio/wav" and not {b"fmt ", b"data"} <= names:
+    if pos not in (end, end + 1) or kind == "audio/wav" and not {b"fmt ", b"data"} <= names:
         return None
     return kind, size + 8
 

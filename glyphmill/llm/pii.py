@@ -2,7 +2,7 @@
 
 The field is trained on the small labelled table below by gradient ascent on the regularised log-likelihood, and decoded by
 Viterbi over numpy batches of sequences of equal length. A sequence is a maximal run of words that lie within REACH words of a
-word with a digit or an at sign; what holds neither holds none of the kinds. What the patterns find stays; the field adds spans
+word with a digit or an at sign, "(at)" and "[at]" included; what holds neither holds none of the kinds. What the patterns find stays; the field adds spans
 that overlap none of these and whose digits or parts make sense for the kind.
 """
 
@@ -78,7 +78,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SEED = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9@]")
+_SEED = re.compile(r"[0-9@]|[(\[]at[)\]]")
 Span = tuple[int, int, int]
 
 
@@ -278,12 +279,16 @@ def _sensible(kind: int, value: str) -> bool:
     return bool(grouped and 9 <= len(digits) <= 15 or re.fullmatch(r"[0-9]{3}[.\x20-][0-9]{4}", value))  # dates have eight digits
 
 
+def _worth(text: str) -> bool:
+    return bool(_DIGIT.search(text)) or "(at)" in text or "[at]" in text
+
+
 def find_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by kind, then start; in code points."""
-    base = [base_spans(t) if _SEED.search(t) else [] for t in texts]
+    base = [base_spans(t) if _DIGIT.search(t) else [] for t in texts]
     where, sequences = [], []
     for i, t in enumerate(texts):
-        if _SEED.search(t):
+        if _worth(t):
             for s in _sequences(t):
                 where.append((i, s))
                 sequences.append([t[a:b] for a, b in s])
