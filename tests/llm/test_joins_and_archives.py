@@ -149,6 +149,7 @@ def brute_vectors(rows, least=0.95):
         if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
             return None
         x = np.array(v, float)
+        x /= np.abs(x).max()
         return x / np.linalg.norm(x)
 
     units = [unit(v) for _, v in rows]
@@ -166,7 +167,7 @@ def test_vector_components_equal_brute_force(spark, cell_size):
     for i in range(260):
         v = centers[i % 12] + rng.normal(size=8) * (0.05 if i % 3 else 0.35)
         rows.append((i, [float(np.float32(x)) for x in v * rng.choice([1, 2, 0.5])]))
-    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1002, None), (1003, [0.0] * 8), (1004, [float("nan")] * 8), (1005, [1.0, None, 0, 0, 0, 0, 0, 0]), (1006, []), (1007, [float("inf")] + [0.0] * 7), (1008, [1.0, 2.0]), (1009, [2.0, 4.0]), (1010, [1e300] * 8), (1011, [1e-300] * 8)]
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1002, None), (1003, [0.0] * 8), (1004, [float("nan")] * 8), (1005, [1.0, None, *[0.0] * 6]), (1006, []), (1007, [float("inf")] + [0.0] * 7), (1008, [1.0, 2.0]), (1009, [2.0, 4.0]), (1010, [1e300] * 8), (1011, [1e-300] * 8)]
     df = clash(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = vector_join.vector_components(df, cell_size=cell_size).collect()
     assert sorted(map(tuple, got)) == sorted(brute_vectors(rows))
