@@ -84,7 +84,9 @@ def singular_vectors(edges: DataFrame, k: int = 9) -> tuple[DataFrame, DataFrame
     e = edges.distinct()
     n = int(edges.select(F.greatest("src", "dst").alias("m")).agg(F.max("m")).first()[0]) + 1
     entries = e.rdd.map(lambda r: MatrixEntry(r[0], r[1], 1.0))  # the library's matrices are RDDs
-    svd = CoordinateMatrix(entries, n, n).toIndexedRowMatrix().computeSVD(min(k, n), computeU=True)
+    matrix = CoordinateMatrix(entries, n, n).toIndexedRowMatrix()
+    matrix._java_matrix_wrapper._java_model.rows().cache()  # each iteration of the solver reads them
+    svd = matrix.computeSVD(min(k, n), computeU=True)
     sigma = spark.createDataFrame([(i, float(s)) for i, s in enumerate(svd.s)], "axis int, sigma double")
     rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector]))
     u = spark.createDataFrame(rows, "node long, values array<double>").select("node", F.posexplode("values").alias("axis", "u"))

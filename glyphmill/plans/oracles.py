@@ -212,4 +212,14 @@ SQL = {
     "events_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, sid""",
     "incremental_clusters": f"{COARSE} SELECT doc_id, cluster FROM cl WHERE doc_id IN (SELECT doc_id FROM top)",
+    "min_ngrams": f"WITH w AS (SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '{WS}')) - 1 AS grams FROM conversations) SELECT conv_id, turn, grams FROM w WHERE grams >= 5",
+    "vocabulary": f"""WITH t AS (SELECT list_filter(list_transform(string_split(translate(coalesce(text, ''), '{text.PUNCTUATION.replace("'", "''")}', ''), ' '), lambda x: lower(x)), lambda x: x <> '') AS w FROM documents), v AS (SELECT count(DISTINCT x) AS voc FROM (SELECT unnest(w) AS x FROM t))
+        SELECT voc, CASE WHEN voc <= 1 THEN 0 ELSE length(ltrim(bin(voc - 1), '0')) END AS word_cost FROM v""",
+    "mixed_terms": f"WITH t AS (SELECT conv_id, unnest(flatten([regexp_extract_all(coalesce(text, ''), '{WS}'), ['#' || role]])) AS term FROM conversations) SELECT conv_id, term, count(*) AS tf FROM t GROUP BY ALL",
+    "adjacent_turn_jaccard": f"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(coalesce(text, ''), '{WS}')) AS w FROM conversations)
+        SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(flatten([a.w, b.w]))) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(flatten([a.w, b.w]))) END, 9) AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
+    "highlighted_phrases": f"""WITH {TOP}, c AS (SELECT doc_id, {_clean_page('text')} AS c FROM documents), r AS (SELECT doc_id, strpos(c, phrase)::INTEGER AS lo, (strpos(c, phrase) + length(phrase) - 1)::INTEGER AS hi FROM top JOIN c USING (doc_id) WHERE strpos(c, phrase) > 0),
+        n AS (SELECT *, CASE WHEN max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo - 1 THEN 0 ELSE 1 END AS nw FROM r),
+        i AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT doc_id, min(lo) AS lo, max(hi) AS hi, count(*) AS merged FROM i GROUP BY doc_id, island""",
+    "bigram_presence": f"WITH w AS (SELECT conv_id * 1000 + turn AS doc_id, flatten([['<s>'], regexp_extract_all(coalesce(text, ''), '{WS}'), ['</s>']]) AS w FROM conversations), g AS (SELECT DISTINCT doc_id, unnest({_grams('w', 2, 2)}) AS phrase FROM w) SELECT phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1",
 }

@@ -544,3 +544,71 @@ def incremental_clusters(spark: S, d: str) -> T:
     for i in range(3):
         grown.add(edges.where(F.pmod("doc_id", F.lit(3)) == i), i)
     return grown.labels
+
+
+# --- reports and small filters
+
+
+def min_ngrams(spark: S, d: str) -> T:
+    """Turns with at least five bigrams."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", text.ngrams(text.words_nonspace(F.col("text")), 2, 2).alias("g")).dropna(subset=["g"])
+    return rows.where(F.size("g") >= 5).select("conv_id", "turn", F.size("g").cast("long").alias("grams"))
+
+
+def vocabulary(spark: S, d: str) -> T:
+    words = table(spark, d, "documents").select(text.words_no_punctuation(F.col("text")).alias("words"))
+    return templates.vocabulary_cost(words)
+
+
+def mixed_terms(spark: S, d: str) -> T:
+    """Bag of a turn's words and of its role as a marked term: phrases and other values compete in one space."""
+    rows = table(spark, d, "conversations").select("conv_id", F.concat(text.words_nonspace(F.col("text")), F.array(F.concat(F.lit("#"), "role"))).alias("w"))
+    return rows.select("conv_id", F.explode("w").alias("term")).groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def adjacent_turn_jaccard(spark: S, d: str) -> T:
+    """Edges from a turn to the next, joined with the texts of both ends."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(text.words_nonspace(F.col("text"))).alias("w"))
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return turns.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(F.col("w"), F.col("v")), 9).alias("similarity"))
+
+
+def highlighted_phrases(spark: S, d: str) -> T:
+    """Character intervals that a document's best phrases cover, merged where they meet; first occurrences in the cleaned text."""
+    top = coarse_top_phrases(spark, d).select("doc_id", "phrase")
+    docs = table(spark, d, "documents").select("doc_id", text.clean_page("text").alias("c"))
+    spans = top.join(docs, "doc_id").select("doc_id", F.instr(F.col("c"), F.col("phrase")).alias("lo"), F.length("phrase").alias("n")).where("lo > 0")
+    return graph.merged_intervals(spans.select("doc_id", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), "doc_id")
+
+
+def bigram_presence(spark: S, d: str) -> T:
+    """How many documents hold each boundary bigram, of those that more than one holds."""
+    return boundary_bigrams(spark, d).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def cluster_report(spark: S, d: str) -> T:
+    from glyphmill.sources.readers import latex_rows
+
+    docs = table(spark, d, "documents")
+    return latex_rows(_coarse(spark, d).where("size >= 2 and doc_id = cluster").join(docs.select("doc_id", F.substring("text", 1, 80).alias("text")), "doc_id").select("cluster", "size", "text"))
+
+
+def alignment_graphs(spark: S, d: str) -> T:
+    return templates.alignment_graph(templates.prepared(_coarse(spark, d).where("size >= 2"), table(spark, d, "documents")))
+
+
+def alignment_drawings(spark: S, d: str) -> T:
+    return templates.drawing(alignment_graphs(spark, d))
+
+
+def lsh_chain_clusters_v2(spark: S, d: str) -> T:
+    """The second variant: superseded clusters are skipped, buckets are smaller, phrases are the best fifth of 5-grams."""
+    docs = table(spark, d, "documents").select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
+    tf = tfidf.term_frequency(tfidf.phrases(docs, text.ngrams(F.col("w"), 5, 5)))
+    n = docs.count()
+    df = tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(n))
+    weighted = tfidf.static_weights(tf, df, n).withColumn("weight", F.round("weight", 9))
+    sized = weighted.join(weighted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.desc("phrase")))
+    top = sized.withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("k") / 5)).select("doc_id", "rank", "phrase")
+    return lsh.chain_clusters(top, buckets=max(1, n // 100), capacity=10, skip_marked=True)
