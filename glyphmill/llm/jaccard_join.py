@@ -349,7 +349,7 @@ def _rest(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -
     one block each, so pairs within the largest component are never looked at. Sets carry the FIRST smallest of their signatures
     here: a pair that has a smaller one of these in common is written there, and not again.
     """
-    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("print")).where("n > 2")
+    groups = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("print")).where("n > 1")
     chosen = groups.groupBy("n", "print").agg(F.min("sig").alias("sig")).select("sig")  # signatures of the same sets once
     shared = shared.select("sig", "key").join(materialize(chosen, "jaccard-chosen"), "sig", "left_semi")
     rows = materialize(shared.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")), "jaccard-rows")

@@ -113,6 +113,19 @@ def test_jaccard_components_equal_brute_force(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_jaccard(rows)))
 
 
+def test_jaccard_pairs_of_near_copies_with_a_sentence_of_a_third(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"v{rng.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        base, sentence = words(70), words(20)
+        texts += [" ".join(base), " ".join(base + sentence), " ".join(words(50) + sentence)]
+    rows = list(enumerate(texts))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_jaccard(rows))
+    assert sum(r.doc_id != r.component_id for r in got) == 60
+
+
 def test_jaccard_does_not_depend_on_the_order_of_signatures(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(80)]
