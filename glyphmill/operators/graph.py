@@ -97,27 +97,37 @@ def spokes(edges: DataFrame, u: DataFrame, *, cutoff: float = 1e-2, max_conducta
     """(axis, node): per axis, the set grown from the node of largest |u| by the neighbour of largest |u|.
 
     Neighbours of |u| <= cutoff are skipped; growth ends before the set's conductance falls below `max_conductance`. An axis is one
-    task, which holds the graph: axes are few, and the graph is that of one connected sample."""
-    graph = edges.distinct().groupBy().agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    task, which holds the axis's nodes of |u| > cutoff and the edges between them: columns of u have length 1, so these nodes are fewer
+    than 1 / cutoff^2. All other edges count in the nodes' degrees only."""
+    e = materialize(edges.distinct(), "spoke-edges")
+    total = e.count()
+    top = u.groupBy("axis").agg(F.max(F.struct(F.abs("u").alias("s"), -F.col("node"))).alias("top"))
+    seeds = top.select("axis", (-F.col("top")["col2"]).alias("seed"))
+    loud = u.join(F.broadcast(seeds), "axis").where((F.abs("u") > cutoff) | (F.col("node") == F.col("seed")))  # a row for each axis
+    loud = materialize(loud.select("axis", "node", F.abs("u").alias("score")), "spoke-nodes")
+    inner = e.join(loud.select("axis", F.col("node").alias("src")), "src").join(loud.select("axis", F.col("node").alias("dst")), ["axis", "dst"])
+    inner = inner.groupBy("axis", F.col("src").alias("node")).agg(F.collect_list("dst").alias("successors"))
+    rows = loud.join(degrees(e), "node", "left").join(inner, ["axis", "node"], "left").fillna(0, ["in_degree", "out_degree"])
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        score = dict(zip(group["node"], group["u"].abs(), strict=True))
+        score = dict(zip(group["node"], group["score"], strict=True))
+        out_degree, in_degree = (dict(zip(group["node"], group[c], strict=True)) for c in ("out_degree", "in_degree"))
         out: dict[int, set[int]] = {}
         into: dict[int, set[int]] = {}
-        for e in group["edges"].dropna().iloc[0]:
-            out.setdefault(e["src"], set()).add(e["dst"])
-            into.setdefault(e["dst"], set()).add(e["src"])
-        total = sum(map(len, out.values()))
+        for v, successors in zip(group["node"], group["successors"], strict=True):
+            out[v] = set() if successors is None else set(successors.tolist())
+            for w in out[v]:
+                into.setdefault(w, set()).add(v)
         seed = max(sorted(score), key=lambda v: score[v])
         spoke, seen, heap = {seed}, {seed}, []
-        volume, inner = len(out.get(seed, ())), int(seed in out.get(seed, ()))
-        entering = len(into.get(seed, ()))
+        volume, inner = out_degree[seed], int(seed in out[seed])
+        entering = in_degree[seed]
 
         def offer(node: int) -> None:
-            for v in sorted(out.get(node, ())):
+            for v in sorted(out[node]):
                 if v not in seen:
                     seen.add(v)
-                    heapq.heappush(heap, (-score.get(v, 0.0), -v))  # rows without entries have no u
+                    heapq.heappush(heap, (-score[v], -v))
 
         offer(seed)
         while heap:
@@ -125,8 +135,8 @@ def spokes(edges: DataFrame, u: DataFrame, *, cutoff: float = 1e-2, max_conducta
             v = -v
             if -s <= cutoff:
                 continue
-            grown = inner + len(out.get(v, set()) & spoke) + len(into.get(v, set()) & spoke) + int(v in out.get(v, ()))
-            vol, ent = volume + len(out.get(v, ())), entering + len(into.get(v, ()))
+            grown = inner + len(out[v] & spoke) + len(into.get(v, set()) & spoke) + int(v in out[v])
+            vol, ent = volume + out_degree[v], entering + in_degree[v]
             least = min(vol, total - vol)
             if not least or (vol + ent - 2 * grown) / least < max_conductance:
                 break
@@ -135,7 +145,7 @@ def spokes(edges: DataFrame, u: DataFrame, *, cutoff: float = 1e-2, max_conducta
             offer(v)
         return pd.DataFrame({"axis": int(group["axis"].iloc[0]), "node": sorted(spoke)})
 
-    return u.crossJoin(graph).groupBy("axis").applyInPandas(grow, "axis int, node long")
+    return rows.groupBy("axis").applyInPandas(grow, "axis int, node long")
 
 
 def axis_pairs(u: DataFrame, found: DataFrame, *, cutoff: float = 1e-2, min_entropy: float = 5.0) -> DataFrame:

@@ -439,10 +439,6 @@ def off_axis_points(spark: S, d: str) -> T:
     return graph.off_axes(_points(spark, d), 0.05).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _block_graph(spark: S) -> T:
-    return materialize(graph.densify(graph.dense_blocks(spark))[0], "blocks")
-
-
 def singular_values(spark: S, d: str) -> T:
     return graph.singular_vectors(_supplier_sample(spark, d), 9)[0]
 
@@ -452,12 +448,12 @@ def _supplier_sample(spark: S, d: str) -> T:
 
 
 def spokes(spark: S, d: str) -> T:
-    edges = _block_graph(spark)
+    edges = _supplier_sample(spark, d)
     return graph.spokes(edges, materialize(graph.singular_vectors(edges, 9)[1], "u"))
 
 
 def spoke_pairs(spark: S, d: str) -> T:
-    edges = _block_graph(spark)
+    edges = _supplier_sample(spark, d)
     u = materialize(graph.singular_vectors(edges, 9)[1], "u")
     return graph.axis_pairs(u, graph.spokes(edges, u))
 

@@ -10,6 +10,7 @@ from glyphmill.functions import coding, text
 from glyphmill.operators import cluster, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
 from glyphmill.operators.storage import fresh_path
+from glyphmill.plans import queries
 from glyphmill.sources import readers
 from glyphmill.streaming import live
 
@@ -115,6 +116,46 @@ def test_singular_values_and_spokes(spark):
     assert all(r["count"] <= 2 for r in found)
 
 
+def grown_spokes(edges, u, cutoff=1e-2, least=0.93):
+    """By definition: conductance of all edges anew at each step, on the whole graph."""
+    found = set()
+    for axis in {a for a, _, _ in u}:
+        score = {n: abs(x) for a, n, x in u if a == axis}
+        seed = max(sorted(score), key=lambda v: score[v])
+        spoke, done = {seed}, {seed}
+        while near := {b for a, b in edges if a in spoke and b not in done and score.get(b, 0.0) > cutoff}:
+            v = max(near, key=lambda n: (score[n], n))
+            done.add(v)
+            grown = spoke | {v}
+            cut = sum((a in grown) != (b in grown) for a, b in edges)
+            volume = sum(a in grown for a, _ in edges)
+            small = min(volume, len(edges) - volume)
+            if not small or cut / small < least:
+                break
+            spoke = grown
+        found |= {(axis, n) for n in spoke}
+    return found
+
+
+def test_spokes_equal_brute_force(spark):
+    blocks = graph.densify(graph.dense_blocks(spark).where("src % 6 = 0 and dst % 6 = 0"))[0].cache()
+    for edges in (blocks, queries._supplier_sample(spark, "/root/testdata/sf0.01")):
+        u = spark.createDataFrame(graph.singular_vectors(edges, 9)[1].collect()).selectExpr("node", "int(axis) axis", "u")
+        for cutoff in (1e-2, 0.08, 2.0):
+            want = grown_spokes({tuple(r) for r in edges.collect()}, [(r.axis, r.node, r.u) for r in u.collect()], cutoff)
+            assert {tuple(r) for r in graph.spokes(edges, u, cutoff=cutoff).collect()} == want
+
+
+def test_spoke_queries_read_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = queries._supplier_sample(spark, sf)
+    u = [(r.axis, r.node, r.u) for r in graph.singular_vectors(edges, 9)[1].collect()]
+    assert {tuple(r) for r in queries.spokes(spark, sf).collect()} == grown_spokes({tuple(r) for r in edges.collect()}, u)
+    pairs = queries.spoke_pairs(spark, sf).collect()
+    assert pairs and max(r.points for r in pairs) <= edges.selectExpr("max(greatest(src, dst)) + 1 n").first().n
+    assert {r.axis for r in queries.spoke_axes(spark, sf).collect()} <= {r.x_axis for r in pairs} | {r.y_axis for r in pairs}
+
+
 def test_entropy_golden(spark):
     v = [0, 1e-4, 1e-3, 1e-2, 1e-1]
     points = spark.createDataFrame([(1, float(x), float(y)) for x in v for y in v], "g int, x double, y double")
