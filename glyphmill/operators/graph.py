@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,13 +169,14 @@ def spoke_axes(pairs: DataFrame, k: int) -> DataFrame:
     return full.union(partly).distinct()
 
 
-def svd_clusters(presence: DataFrame, rounds: int = 3, tolerance: float = 1e-6) -> DataFrame:
+def svd_clusters(presence: DataFrame, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """presence (doc_id, phrase): (round, doc_id) of documents on the leading singular vector, found again after they are taken out.
 
-    The leading vector comes from power iteration by joins and sums, so no matrix is gathered."""
+    Without `rounds` it goes on until every document is placed; each round places one at least. The leading vector comes from power
+    iteration by joins and sums, so no matrix is gathered."""
     rest = presence.distinct()
     out = None
-    for r in range(rounds):
+    for r in range(rounds) if rounds is not None else itertools.count():
         rest = materialize(rest, "presence")
         if rest.isEmpty():
             break

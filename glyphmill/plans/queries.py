@@ -463,7 +463,7 @@ def spoke_axes(spark: S, d: str) -> T:
 
 
 def bigram_svd_clusters(spark: S, d: str) -> T:
-    return graph.svd_clusters(boundary_bigrams(spark, d), rounds=2)
+    return graph.svd_clusters(boundary_bigrams(spark, d))
 
 
 def generated_complete(spark: S, d: str) -> T:

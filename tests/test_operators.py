@@ -156,6 +156,20 @@ def test_spoke_queries_read_the_table(spark):
     assert {r.axis for r in queries.spoke_axes(spark, sf).collect()} <= {r.x_axis for r in pairs} | {r.y_axis for r in pairs}
 
 
+def test_svd_clusters_place_every_document(spark):
+    sizes = [60, 12, 3, 1]  # separate groups of documents with the same phrases
+    rows = [(100 * g + i, f"p{g}-{j}") for g, n in enumerate(sizes) for i in range(n) for j in range(n)]
+    got = {r.doc_id: r.round for r in graph.svd_clusters(spark.createDataFrame(rows, "doc_id long, phrase string")).collect()}
+    assert got == {doc: doc // 100 for doc, _ in rows}
+
+
+def test_bigram_svd_clusters_place_every_turn(spark):
+    sf = "/root/testdata/sf0.001"
+    want = sorted({r.doc_id for r in queries.boundary_bigrams(spark, sf).collect()})
+    got = queries.bigram_svd_clusters(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == want
+
+
 def test_entropy_golden(spark):
     v = [0, 1e-4, 1e-3, 1e-2, 1e-1]
     points = spark.createDataFrame([(1, float(x), float(y)) for x in v for y in v], "g int, x double, y double")
