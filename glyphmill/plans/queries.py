@@ -586,7 +586,7 @@ def cluster_report(spark: S, d: str) -> T:
     from glyphmill.sources.readers import latex_rows
 
     docs = table(spark, d, "documents")
-    return latex_rows(_coarse(spark, d).where("size >= 2 and doc_id = cluster").join(docs.select("doc_id", F.substring("text", 1, 80).alias("text")), "doc_id").select("cluster", "size", "text"))
+    return latex_rows(_coarse(spark, d).where("size >= 2 and doc_id = cluster").join(docs.select("doc_id", "text"), "doc_id").select("cluster", "size", "text"))
 
 
 def alignment_graphs(spark: S, d: str) -> T:

@@ -170,6 +170,13 @@ def test_bigram_svd_clusters_place_every_turn(spark):
     assert sorted(r.doc_id for r in got) == want
 
 
+def test_cluster_report_has_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    n = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(text) n").collect()}
+    got = queries.cluster_report(spark, sf).selectExpr("cluster", "length(latex) n").collect()
+    assert max(n[r.cluster] for r in got) > 80 and all(r.n > n[r.cluster] for r in got)
+
+
 def test_entropy_golden(spark):
     v = [0, 1e-4, 1e-3, 1e-2, 1e-1]
     points = spark.createDataFrame([(1, float(x), float(y)) for x in v for y in v], "g int, x double, y double")
