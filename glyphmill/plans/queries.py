@@ -411,7 +411,9 @@ def modularity_q(spark: S, d: str) -> T:
 
 
 def complete_components(spark: S, d: str) -> T:
-    """Per coarse cluster: documents, linked pairs, and whether all pairs are linked; small clusters only are of interest."""
+    """Per coarse cluster of at least three: documents, those of its most common phrase, and whether that one phrase links them all.
+
+    A cluster whose pairs are all linked, but by different phrases, is not `complete` here."""
     top = materialize(coarse_top_phrases(spark, d), "top-phrases")
     edges = cluster.shared_edges(top)
     found = cluster.clusters(table(spark, d, "documents"), cluster.document_links(edges)).where("size >= 3")
