@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.storage import fresh_path, materialize, shared_dir  # noqa: F401
+from glyphmill.operators.storage import discard, fresh_path, materialize, shared_dir  # noqa: F401
 
 _WORKER: dict = {}
 
