@@ -39,17 +39,39 @@ def test_merge_replay_equals_library_and_single_words():
     table, library = encoding()
     rng = random.Random(5)
     texts = [t for t in ODD if t] + ["".join(rng.choice("ab c'stlré1 \n.") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
-    found = byte_bpe.encode_pieces(table, regex.compile(P.PATTERN), texts)
-    assert found == [library.encode_ordinary(t) for t in texts]
+    slab = byte_bpe.Slab(table, regex.compile(P.PATTERN), texts)
+    assert [[i for run in slab.ids(k) for i in run.tolist()] for k in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
     assert table.one("hello".encode()) == library.encode_ordinary("hello")
 
 
-def test_replay_with_a_table_out_of_merge_order():
-    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"bc": 290, b"abc": 260, b"ca": 280}
+@pytest.mark.parametrize("seed", range(60))
+def test_replay_with_tables_out_of_merge_order(seed):
+    rng = random.Random(seed)
+    made = [b"a", b"b", b"c"]
+    while len(made) < 28:
+        token = rng.choice(made) + rng.choice(made)
+        if len(token) < 8 and token not in made:
+            made.append(token)
+    ranks = {bytes([i]): i for i in range(256)} | {t: 256 + i for i, t in enumerate(rng.sample(made[3:], 25))}
     table = byte_bpe.MergeTable(ranks)
-    words = [bytes(random.Random(i).choices(b"abc", k=12)) for i in range(200)]
+    words = [bytes(rng.choices(b"abc", k=rng.randint(0, 25))) for _ in range(40)]
     flat, ends = table.replay(words)
-    assert [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)] == [table.one(w) for w in words]
+    assert [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [table.one(w) for w in words]
+
+
+def test_slab_keeps_nothing_and_takes_long_texts_in_segments(monkeypatch):
+    import gc
+
+    from glyphmill.llm import common, pretokens
+
+    table, library = encoding()
+    long = "word and  more\n" * 5000 + "x" * 3000
+    assert "".join(pretokens.segments(long, 1000)) == long and len(list(pretokens.segments(long, 1000))) > 50
+    monkeypatch.setattr(byte_bpe, "segments", lambda t: pretokens.segments(t, 1000))
+    slab = byte_bpe.Slab(table, regex.compile(P.PATTERN), [long, None])
+    assert slab.digests(0)[0] == len(library.encode_ordinary(long)) and slab.digests(0)[2] == hashlib.sha256(long.encode()).hexdigest()
+    assert slab.digests(1) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+    assert gc.isenabled() and set(common.worker_state()) <= {"merge-path", "merge-table", "letters"} | {k for k in common.worker_state() if k[0] in ("library", "lengths")}
 
 
 def test_encode_decode_edges(spark):
@@ -69,13 +91,32 @@ def test_encode_decode_edges(spark):
 def test_token_counts_equal_library(spark, size):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = [*ODD, *["the same words again and again"] * 5]
-    rows = token_counts.count_tokens(clash(docs(spark, texts)), P.path("byte_bpe_50k.json"), table_size=size or 1, cache_size=3).collect()
+    texts += ["new letter \u0558 beside a\u0558 1", "word " * 40]
+    rows = token_counts.count_tokens(clash(docs(spark, texts)), P.path("byte_bpe_50k.json"), P.PATTERN, table_size=size or 1, cache_bytes=500, slab_bytes=200).collect()
     assert len(rows) == len(texts)
     for r in rows:
         t = texts[r.doc_id] or ""
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(t.encode()), n > 512)
-    assert token_counts.count_tokens(docs(spark, ["x"]).limit(0), P.path("byte_bpe_50k.json")).collect() == []
+    assert token_counts.count_tokens(docs(spark, ["x"]).limit(0), P.path("byte_bpe_50k.json"), P.PATTERN).collect() == []
+
+
+def test_frequent_pretokens_without_a_shuffle_of_them(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FANIN", 2)
+    table = docs(spark, ["a b b c c c"] * 50).repartition(7)
+    assert token_counts.frequent_pretokens(table, "text", P.PATTERN, table_size=2) == [" b", " c"]
+    table = token_counts.Table([" b", " c", "longer"], [1, 2, 3])
+    assert table.look_up([" c", "x", " b", "long", "", "longer"]).tolist() == [2, -1, 1, -1, -1, 3]
+
+
+def test_pattern_and_library_cut_all_known_characters_alike():
+    """Every character that Python's tables know, between letters, digits, marks and spaces."""
+    cut = regex.compile(P.PATTERN).findall
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if not token_counts._unassigned(c):
+            s = f"a{c}1{c}.{c} {c}  {c}"
+            assert [len(w) for w in cut(s)] == [b - a for _, (a, b) in library(s)], hex(ord(c))
 
 
 def test_media_round_trip(spark):
