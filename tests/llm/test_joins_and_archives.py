@@ -157,6 +157,59 @@ def test_similar_sets_share_a_signature(n):
                 assert np.intersect1d(jaccard_join.signatures(a, h, 75), jaccard_join.signatures(b, h, 75)).size
 
 
+@pytest.mark.parametrize("percent", [50, 60, 75, 90, 100])
+def test_similar_sets_of_any_size_share_a_signature_at_any_similarity(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 70), *rng.integers(70, 300, 30).tolist()]:
+        for _ in range(8):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone = int(rng.integers(0, n - -(-n * percent // 100) + 1))
+            new = int(rng.integers(0, (n - gone) * 100 // percent - n + 1))
+            b = np.unique(np.r_[rng.permutation(a)[: n - gone], rng.integers(0, 2**63, new).astype(np.uint64)])
+            hot = np.unique(np.r_[a[rng.random(n) < rng.random()], b[rng.random(len(b)) < rng.random()]])
+            assert np.intersect1d(jaccard_join.signatures(a, hot, percent), jaccard_join.signatures(b, hot, percent)).size
+
+
+def test_groups_cross_batches():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = sorted((rng.randint(0, 12), rng.randint(0, 3)) for _ in range(60)) + [(99, 1)] * 5 + [(100, 1)] * 3 + [(100, 2)]
+    keys = {}
+    for s, k in rows:
+        keys.setdefault(s, set()).add(k)
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows[i : i + size]], pa.int64()), pa.array([k for _, k in rows[i : i + size]], pa.int64())], ["sig", "key"]) for i in range(0, len(rows), size)]
+        out = [r for b in jaccard_join._groups(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["sig"], r["key"]) for r in out if r["key"] is not None) == [(s, k) for s in sorted(keys) if len(keys[s]) > 1 for k in sorted(keys[s])]
+        ends = {r["sig"]: (r["n"], r["print"]) for r in out if r["key"] is None}
+        assert {s: n for s, (n, _) in ends.items()} == {s: len(k) for s, k in keys.items() if len(k) > 1}
+        assert all((ends[s] == ends[t]) == (keys[s] == keys[t]) for s in ends for t in ends)
+
+
+def test_folded_parities_never_rule_out_similar_sets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for n in (10, 200, 300, 1000, 9000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[n // 10 :], rng.integers(0, 2**63, n // 8).astype(np.uint64)])
+        far = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        bits = jaccard_join.Parities(pa.array([jaccard_join.parity(s) for s in (a, b, far)]))
+        sizes = np.array([len(a), len(b), len(far)])
+        assert jaccard_join._plausible_pairs(sizes, bits, np.array([0, 0]), sizes, bits, np.array([1, 2]), 75).tolist() == [True, n <= 10 and False]
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    from glyphmill.operators import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    texts = [f"one two three four five six seven eight nine ten {i // 2}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(jaccard_join.jaccard_components(df).collect()) == 20
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"jaccard-sets", "jaccard-placed"}
+
+
 def brute_vectors(rows, least=0.95):
     def unit(v):
         if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
