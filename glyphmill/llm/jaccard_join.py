@@ -247,17 +247,17 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
     roots, tested, edges = None, [], []
     for last in [False] * rounds + [True]:
         rows = _across(members, roots)
-        new = _rest(rows, nodes, percent) if last else _proposed(rows)
+        new, *read = _rest(rows, nodes, percent) if last else (_proposed(rows),)
         if tested:
             new = new.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
         if not last:
             new = new.groupBy("kind", "of").agg(F.max_by(F.struct("a", "b"), F.struct("weight", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         new = materialize(new, "jaccard-pairs")
-        discard(rows)
+        discard(rows, *read)
         tested.append(new)
         if new.isEmpty():
             break
-        edges.append(_verified(source, nodes, (_by_family if last else _by_center)(_likely(nodes, new, percent)), width, percent))
+        edges.append(_verified(source, nodes, _likely(nodes, new, percent), _by_family if last else _by_center, width, percent))
         discard(roots)
         roots = components(reduce(DataFrame.union, edges))
     discard(members, *tested, *edges)
@@ -367,32 +367,35 @@ def _blocks(sizes: DataFrame, by: str) -> DataFrame:
     return materialize(sizes.groupBy(by).agg(blocks.alias("blocks")).where("blocks > 1"), "jaccard-blocks")
 
 
-def _by_center(likely: DataFrame) -> DataFrame:
-    """(a, b, g): pairs with the same a come together, in blocks of b."""
-    found = likely.join(_blocks(likely.select("a", F.col("n2").alias("n")), "a"), "a", "left")
-    return found.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))).alias("g"))
+def _by_center(likely: DataFrame) -> tuple[DataFrame, ...]:
+    """(a, b, g): pairs with the same a come together, in blocks of b; and the tables that this reads."""
+    blocks = _blocks(likely.select("a", F.col("n2").alias("n")), "a")
+    found = likely.join(blocks, "a", "left")
+    return found.select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1)))).alias("g")), blocks
 
 
-def _by_family(likely: DataFrame) -> DataFrame:
+def _by_family(likely: DataFrame) -> tuple[DataFrame, ...]:
     """(a, b, g): each set belongs to the one of its partners and itself that has most partners; pairs of the same two of these
-    come together, in blocks of a and of b."""
+    come together, in blocks of a and of b; and the tables that this reads."""
     both = likely.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("n1").alias("n")).union(likely.select("b", "a", "n2"))
     degree = materialize(both.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.first("n").alias("n")), "jaccard-degrees")
     best = both.join(degree.select(F.col("u").alias("v"), "d"), "v").groupBy("u").agg(F.max(F.struct("d", "v")).alias("best"))
     family = F.greatest("best", F.struct("d", F.col("u").alias("v")))["v"]
     placed = materialize(degree.join(best, "u").select("u", "n", family.alias("family")), "jaccard-families")
-    placed = placed.join(_blocks(placed.select("family", "n"), "family"), "family", "left")
-    placed = materialize(placed.select("u", F.xxhash64("family", F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1)))).alias("cell")), "jaccard-cells")
-    found = likely.join(placed.toDF("a", "cell1"), "a").join(placed.toDF("b", "cell2"), "b")
-    return found.select("a", "b", F.xxhash64(F.least("cell1", "cell2"), F.greatest("cell1", "cell2")).alias("g"))
+    blocks = _blocks(placed.select("family", "n"), "family")
+    cells = materialize(placed.join(blocks, "family", "left").select("u", F.xxhash64("family", F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1)))).alias("cell")), "jaccard-cells")
+    found = likely.join(cells.toDF("a", "cell1"), "a").join(cells.toDF("b", "cell2"), "b")
+    return found.select("a", "b", F.xxhash64(F.least("cell1", "cell2"), F.greatest("cell1", "cell2")).alias("g")), degree, placed, blocks, cells
 
 
-def _verified(source: DataFrame, nodes: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b, g) those (a, b) whose sets are similar enough, checked on the whole texts of one document each.
+def _verified(source: DataFrame, nodes: DataFrame, likely: DataFrame, place: Callable, width: int, percent: int) -> DataFrame:
+    """Of the `likely` pairs those (a, b) whose sets are similar enough, checked on the whole texts of one document each.
 
-    Each text goes once to each group g that has pairs of it, compressed, and its shingles are made there.
+    `place` gives each pair a group g. Each text goes once to each group that has pairs of it, compressed, and its shingles are made there.
     """
-    placed = materialize(placed, "jaccard-placed-pairs")
+    found, *read = place(likely)
+    placed = materialize(found, "jaccard-placed-pairs")
+    discard(likely, *read)
     sets = materialize(placed.select("g", F.col("a").alias("key")).union(placed.select("g", "b")).distinct(), "jaccard-sent")
     needed = materialize(sets.select("key").distinct().join(nodes.select("key", "rep"), "key"), "jaccard-needed")
     texts = _texts(source, needed, width)
@@ -463,8 +466,9 @@ def _texts(source: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return source.select(place("doc_id").alias("p"), "text").mapInArrow(gather, "key long, packed binary")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a < b) of keys that share a signature of `rows`, lie in different components, and may be similar enough.
+def _rest(rows: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a < b) of keys that share a signature of `rows`, lie in different components, and may be similar enough; and the
+    table that this reads.
 
     Of each signature's sets, those outside the signature's largest component go to all of the signature's blocks, the rest to
     one block each, so pairs within the largest component are never looked at. Sets carry the FIRST smallest of their signatures
@@ -481,7 +485,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     firsts = found.groupBy("key").agg(F.slice(F.concat(F.sort_array(F.collect_list("sig")), none), 1, FIRST).alias("firsts"))
     sent = home.union(away).join(nodes.select("key", "n", "bits").join(firsts, "key"), "key").select("sig", "block", "other", "key", "root", "home", "n", "bits", "firsts")
     pairs = sent.repartition("sig", "block", "other").sortWithinPartitions("sig", "block", "other").mapInArrow(_block_pairs(percent), "a long, b long")
-    return pairs.distinct()
+    return pairs.distinct(), found
 
 
 def _block_pairs(percent: int) -> Callable:
