@@ -222,6 +222,42 @@ def test_alignment_projects_to_the_sequence():
         assert all(place[a] < place[b] for a in range(len(g.words)) for b in g.out[a])
 
 
+def test_consensus_is_the_heaviest_supported_path():
+    g = templates.WordGraph.chain(list("abcd"), 3)
+    templates.merge(g, *(lambda w: (w, templates.align(w, g)))(np.array(list("abxd"), dtype=object)))
+    assert templates.consensus(g, 0).words == list("abcd") and templates.consensus(g, 1).words == list("abcd")
+    assert templates.consensus(g, 3).words == ["a", "b"] and templates.consensus(g, 4).words == []
+
+
+def test_a_slot_is_kept_where_it_saves_bits():
+    frame = list("abcdefghijklmnop")
+    docs = {i: np.array(frame[:8] + [f"{i}{j}" for j in range(i % 3 + 1)] + frame[8:], dtype=object) for i in range(6)}
+    found = templates.Cluster(docs, dict.fromkeys(docs, 2), 12)
+    chain = templates.WordGraph.chain(frame)
+    plain = found.total(list(docs), chain)
+    found.mark_slots(list(docs), chain)
+    assert chain.slots == {7} and not chain.start_slot and found.total(list(docs), chain) < plain
+    runs = templates.strange_runs(docs[2], chain, templates.align(docs[2], chain))
+    assert runs == {7: 3} and templates.strange_runs(np.array(["x", "a"], dtype=object), templates.WordGraph.chain(["a"]), [(0, None), (1, 0)]) == {-1: 1}
+    chain = templates.WordGraph.chain(frame * 40)  # a place among so many words costs more than one odd word is worth
+    long = {0: np.array(frame * 40, dtype=object), 1: np.array([*(frame * 40)[:3], "odd", *(frame * 40)[3:]], dtype=object)}
+    other = templates.Cluster(long, dict.fromkeys(long, 1), 2)
+    least = min(other.total(list(long), chain), other.total(list(long), templates.WordGraph(**{**vars(chain), "slots": {2}})))
+    other.mark_slots(list(long), chain)
+    assert other.total(list(long), chain) == least
+
+
+def test_copies_are_aligned_once_and_cost_as_often_as_they_stand(spark):
+    docs = [(i, "the same words in every one of these texts again") for i in range(40)] + [(90, "the same words in some one of these texts again")]
+    members = spark.createDataFrame([(0, i) for i, _ in docs], "cluster long, doc_id long")
+    words = templates.prepared(members, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert templates.distinct_texts(words).count() == 2
+    rows = templates.mine_templates(words).collect()
+    assert sorted(r.doc_id for r in rows) == [*range(40), 90] and {r.template_no for r in rows} == {1} and {r.docs for r in rows} == {41}
+    alone = templates.Cluster({0: np.array(docs[0][1].split(), dtype=object)}, {0: 40}, 4).mine()
+    assert alone[1] == 40 * (templates.log_star(10) + 10 * 4 + 1) and alone[2] < alone[1]
+
+
 def test_templates_of_near_copies(spark):
     frame = "the quick {} fox jumps over the lazy dog and runs through the dark green forest to its den".split()
     docs = [(i, " ".join(w.format(c) for w in frame)) for i, c in enumerate(["brown", "red", "grey", "old", "young", "tired"])] + [(9, "nothing like the others at all here my friend"), (10, "")]
