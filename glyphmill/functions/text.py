@@ -73,6 +73,12 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     return F.concat(*by_n)
 
 
+def split_at(c: Column, marker: Column) -> Column:
+    """The parts of a text between the occurrences of a literal marker."""
+    literal = F.concat(F.lit("\\Q"), F.replace(marker, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.split(c, literal, F.lit(-1))
+
+
 def with_bounds(words: Column) -> Column:
     return F.concat(F.array(F.lit("<s>")), words, F.array(F.lit("</s>")))
 

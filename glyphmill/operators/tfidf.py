@@ -21,9 +21,26 @@ def numbered(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:
     return dealt.withColumn("__own", own).join(before, "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__n")
 
 
-def phrases(docs: DataFrame, grams: Column, *keep: str) -> DataFrame:
-    """One row per phrase occurrence: doc_id, the columns in `keep`, phrase."""
-    return docs.select("doc_id", *keep, F.explode(grams).alias("phrase"))
+def located(docs: DataFrame, *by: str) -> DataFrame:
+    """The rows with all rows of a key in one partition (by default of a doc_id), so that what documents are turned into is counted by key
+    where it arises: documents are shuffled once, and their phrases, many times as large, are not."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(by or ("doc_id",)))
+
+
+def grams(docs: DataFrame, low: int, high: int, *keep: str) -> DataFrame:
+    """One row per occurrence of a run of `low` to `high` words of the array w, joined by a space: doc_id, the columns in `keep`, n, phrase.
+
+    Words are exploded and looked up from their places, which stays in generated code. Outer explodes keep Spark from
+    making the array twice to filter out empty ones."""
+    word = lambda j: F.get("w", F.col("__at") + j)
+    runs = F.array(*[F.when(F.col("__at") + n <= F.size("w"), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *map(word, range(n))).alias("phrase"))) for n in range(low, high + 1)])
+    places = docs.select("doc_id", *keep, "w", F.posexplode_outer("w").alias("__at", "__word")).where("__word is not null")
+    return places.select("doc_id", *keep, F.explode_outer(runs).alias("__run")).where("__run is not null").select("doc_id", *keep, "__run.n", "__run.phrase")
+
+
+def phrases(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """One row per occurrence of a word: doc_id, the columns in `keep`, phrase."""
+    return docs.select("doc_id", *keep, F.explode_outer(words).alias("phrase")).where("phrase is not null")
 
 
 def term_frequency(occurrences: DataFrame, *keys: str) -> DataFrame:

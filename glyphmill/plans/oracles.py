@@ -111,7 +111,7 @@ SUPPLY = "sp AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst F
 POINTS = "pt AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 DAYS = "dy AS (SELECT strftime(ts, '%Y %m %d') AS bucket, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)"
 CITY = "pc AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), sz AS (SELECT n_name, 1000 * (n_nationkey + 1) AS size FROM nation WHERE 1000 * (n_nationkey + 1) < 20000)"
-BUCKETS = "bu AS (SELECT doc_id, phrase, fn, ('0x' || substr(md5(fn || ':' || phrase), 1, 8))::BIGINT % {n} AS bucket FROM top, range(8) f(fn) WHERE rank <= 3)"
+BUCKETS = "bu AS (SELECT doc_id, phrase, fn, ('0x' || substr(md5(fn || ':' || phrase), 1, 8))::BIGINT % {n} AS bucket FROM top, range(128) f(fn))"
 
 SQL = {
     "clean_text_ascii": f"SELECT doc_id, {_clean_ascii('text')} AS cleaned FROM documents",
@@ -218,7 +218,10 @@ SQL = {
     "mixed_terms": f"WITH t AS (SELECT conv_id, unnest(flatten([regexp_extract_all(coalesce(text, ''), '{WS}'), ['#' || role]])) AS term FROM conversations) SELECT conv_id, term, count(*) AS tf FROM t GROUP BY ALL",
     "adjacent_turn_jaccard": f"""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(coalesce(text, ''), '{WS}')) AS w FROM conversations)
         SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(flatten([a.w, b.w]))) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(flatten([a.w, b.w]))) END, 9) AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
-    "highlighted_phrases": f"""WITH {TOP}, c AS (SELECT doc_id, {_clean_page('text')} AS c FROM documents), r AS (SELECT doc_id, strpos(c, phrase)::INTEGER AS lo, (strpos(c, phrase) + length(phrase) - 1)::INTEGER AS hi FROM top JOIN c USING (doc_id) WHERE strpos(c, phrase) > 0),
+    "highlighted_phrases": f"""WITH {TOP}, c AS (SELECT doc_id, {_clean_page('text')} AS c FROM documents), sp AS (SELECT doc_id, phrase, string_split(c, phrase) AS parts FROM top JOIN c USING (doc_id)),
+        pt AS (SELECT doc_id, phrase, len(parts) AS m, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM sp),
+        ps AS (SELECT doc_id, phrase, m, k, (sum(length(part)) OVER (PARTITION BY doc_id, phrase ORDER BY k ROWS UNBOUNDED PRECEDING) + (k - 1) * length(phrase) + 1)::INTEGER AS lo FROM pt),
+        r AS (SELECT doc_id, lo, (lo + length(phrase) - 1)::INTEGER AS hi FROM ps WHERE k < m),
         n AS (SELECT *, CASE WHEN max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo - 1 THEN 0 ELSE 1 END AS nw FROM r),
         i AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT doc_id, min(lo) AS lo, max(hi) AS hi, count(*) AS merged FROM i GROUP BY doc_id, island""",
     "bigram_presence": f"WITH w AS (SELECT conv_id * 1000 + turn AS doc_id, flatten([['<s>'], regexp_extract_all(coalesce(text, ''), '{WS}'), ['</s>']]) AS w FROM conversations), g AS (SELECT DISTINCT doc_id, unnest({_grams('w', 2, 2)}) AS phrase FROM w) SELECT phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1",

@@ -19,6 +19,11 @@ def table(spark: S, d: str, name: str) -> T:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _documents(spark: S, d: str) -> T:
+    """doc_id and text, with all rows of an id in one partition."""
+    return tfidf.located(table(spark, d, "documents").select("doc_id", "text"))
+
+
 # --- text
 
 
@@ -52,19 +57,19 @@ def token_counts_by_tokenizer(spark: S, d: str) -> T:
 
 
 def ngram_counts_3_5(spark: S, d: str) -> T:
-    docs = table(spark, d, "documents").select("doc_id", text.words_nonspace(F.col("text")).alias("w"))
-    n = F.size(F.split("phrase", " ")).alias("n")
-    return tfidf.phrases(docs, text.ngrams(F.col("w"), 3, 5)).groupBy("doc_id", n).agg(F.count(F.lit(1)).alias("grams"), F.countDistinct("phrase").alias("distinct_grams"))
+    docs = _documents(spark, d).select("doc_id", text.words_nonspace(F.col("text")).alias("w"))
+    return tfidf.grams(docs, 3, 5).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("grams"), F.countDistinct("phrase").alias("distinct_grams"))
 
 
 def stopword_bigrams(spark: S, d: str) -> T:
-    docs = table(spark, d, "documents").select("doc_id", text.without_stop_words(text.words2(text.clean_ascii("text"), False)).alias("w"))
-    return tfidf.term_frequency(tfidf.phrases(docs, text.ngrams(F.col("w"), 2, 2))).where("tf > 1")
+    docs = _documents(spark, d).select("doc_id", text.without_stop_words(text.words2(text.clean_ascii("text"), False)).alias("w"))
+    return tfidf.term_frequency(tfidf.grams(docs, 2, 2)).where("tf > 1")
 
 
 def boundary_bigrams(spark: S, d: str) -> T:
-    docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.with_bounds(text.words_nonspace(F.col("text"))).alias("w"))
-    return tfidf.phrases(docs, text.ngrams(F.col("w"), 2, 2)).distinct()
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    docs = tfidf.located(turns).select("doc_id", text.with_bounds(text.words_nonspace(F.col("text"))).alias("w"))
+    return tfidf.grams(docs, 2, 2).select("doc_id", "phrase").distinct()
 
 
 def kth_occurrence_pairs(spark: S, d: str) -> T:
@@ -82,8 +87,9 @@ def kth_occurrence_pairs(spark: S, d: str) -> T:
 
 def _static(spark: S, d: str) -> tuple[T, int]:
     """tf and df of the coarse stage's phrases, and the number of documents."""
-    docs = table(spark, d, "documents").select("doc_id", text.words_nonspace(text.clean_page("text")).alias("w"))
-    return tfidf.term_frequency(tfidf.phrases(docs, text.ngrams(F.col("w"), 3, 5))), docs.count()
+    docs = _documents(spark, d)
+    words = docs.select("doc_id", text.words_nonspace(text.clean_page("text")).alias("w"))
+    return tfidf.term_frequency(tfidf.grams(words, 3, 5)), table(spark, d, "documents").count()
 
 
 def doc_freq_static(spark: S, d: str) -> T:
@@ -92,15 +98,15 @@ def doc_freq_static(spark: S, d: str) -> T:
 
 
 def vocab_pruned(spark: S, d: str) -> T:
-    docs = table(spark, d, "documents").select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
+    docs = _documents(spark, d).select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
     tf = tfidf.term_frequency(tfidf.phrases(docs, F.col("w")))
-    return tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(docs.count()))
+    return tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(table(spark, d, "documents").count()))
 
 
 def l2_norms(spark: S, d: str) -> T:
-    docs = table(spark, d, "documents").select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
+    docs = _documents(spark, d).select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
     tf = tfidf.term_frequency(tfidf.phrases(docs, F.col("w")))
-    weighted = tfidf.static_weights(tf, tfidf.document_frequency(tf), docs.count(), sublinear=False)
+    weighted = tfidf.static_weights(tf, tfidf.document_frequency(tf), table(spark, d, "documents").count(), sublinear=False)
     return weighted.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
 
 
@@ -142,9 +148,9 @@ def component_stats(spark: S, d: str) -> T:
 
 def _numbered_tf(spark: S, d: str) -> tuple[T, int]:
     docs = tfidf.numbered(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    words = docs.select("doc_id", "seq", text.words2(text.clean_ascii("text")).alias("w"))
-    tf = tfidf.term_frequency(tfidf.phrases(words, text.ngrams(F.col("w"), 5, 5), "seq"), "doc_id", "seq")
-    return materialize(tf, "tf"), docs.count()
+    words = tfidf.located(docs.select("doc_id", "seq", "text")).select("doc_id", "seq", text.words2(text.clean_ascii("text")).alias("w"))
+    tf = tfidf.term_frequency(tfidf.grams(words, 5, 5, "seq"), "doc_id", "seq")
+    return materialize(tf, "tf"), table(spark, d, "documents").count()
 
 
 def _running(spark: S, d: str, mode: str) -> T:
@@ -214,10 +220,10 @@ def num_phrases_sweep(spark: S, d: str) -> T:
 
 
 def phrase_prefix_by_length(spark: S, d: str) -> T:
-    docs = table(spark, d, "documents").select("doc_id", text.clean_ascii("text").alias("c"))
+    docs = _documents(spark, d).select("doc_id", text.clean_ascii("text").alias("c"))
     words = docs.select("doc_id", text.without_stop_words(text.words2(F.col("c"), False)).alias("w"))
-    tf = tfidf.term_frequency(tfidf.phrases(words, text.ngrams(F.col("w"), 2, 3)))
-    n = docs.count()
+    tf = tfidf.term_frequency(tfidf.grams(words, 2, 3))
+    n = table(spark, d, "documents").count()
     df = tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(n))
     weighted = tfidf.static_weights(tf, df, n, sublinear=False).withColumn("weight", F.round("weight", 9))
     tokens = docs.select("doc_id", F.size(text.words_and_marks(F.col("c"))).alias("n_tokens"))
@@ -517,11 +523,11 @@ def lsh_chain_clusters(spark: S, d: str) -> T:
 
 
 def lsh_shared_buckets(spark: S, d: str) -> T:
-    return lsh.shared_buckets(coarse_top_phrases(spark, d).where("rank <= 3"), 8, 4096)
+    return lsh.shared_buckets(coarse_top_phrases(spark, d), 128, 4096)
 
 
 def lsh_bucket_occupancy(spark: S, d: str) -> T:
-    return lsh.occupancy(coarse_top_phrases(spark, d).where("rank <= 3"), 8, 256)
+    return lsh.occupancy(coarse_top_phrases(spark, d), 128, 256)
 
 
 # --- streaming forms over tables
@@ -572,11 +578,16 @@ def adjacent_turn_jaccard(spark: S, d: str) -> T:
 
 
 def highlighted_phrases(spark: S, d: str) -> T:
-    """Character intervals that a document's best phrases cover, merged where they meet; first occurrences in the cleaned text."""
+    """Character intervals of the cleaned text that a document's best phrases cover, merged where they meet; each phrase's
+    occurrences are taken from the left, without overlaps."""
     top = coarse_top_phrases(spark, d).select("doc_id", "phrase")
     docs = table(spark, d, "documents").select("doc_id", text.clean_page("text").alias("c"))
-    spans = top.join(docs, "doc_id").select("doc_id", F.instr(F.col("c"), F.col("phrase")).alias("lo"), F.length("phrase").alias("n")).where("lo > 0")
-    return graph.merged_intervals(spans.select("doc_id", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), "doc_id")
+    between = text.split_at(F.col("c"), F.col("phrase"))
+    parts = top.join(docs, "doc_id").select("doc_id", "phrase", F.size(between).alias("parts"), F.posexplode(between).alias("k", "part"))
+    n = F.length("phrase")
+    upto = F.sum(F.length("part")).over(Window.partitionBy("doc_id", "phrase").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    spans = parts.withColumn("lo", (upto + F.col("k") * n + 1).cast("int")).where(F.col("k") < F.col("parts") - 1)
+    return graph.merged_intervals(spans.select("doc_id", "lo", (F.col("lo") + n - 1).alias("hi")), "doc_id")
 
 
 def bigram_presence(spark: S, d: str) -> T:
@@ -601,9 +612,9 @@ def alignment_drawings(spark: S, d: str) -> T:
 
 def lsh_chain_clusters_v2(spark: S, d: str) -> T:
     """The second variant: superseded clusters are skipped, buckets are smaller, phrases are the best fifth of 5-grams."""
-    docs = table(spark, d, "documents").select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
-    tf = tfidf.term_frequency(tfidf.phrases(docs, text.ngrams(F.col("w"), 5, 5)))
-    n = docs.count()
+    docs = _documents(spark, d).select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
+    tf = tfidf.term_frequency(tfidf.grams(docs, 5, 5))
+    n = table(spark, d, "documents").count()
     df = tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(n))
     weighted = tfidf.static_weights(tf, df, n).withColumn("weight", F.round("weight", 9))
     sized = weighted.join(weighted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "doc_id")
