@@ -6,7 +6,9 @@ like a magic number is rejected. `media_columns` stores texts losslessly as 8-bi
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,13 +33,43 @@ MAGIC = [
 ]
 
 
-def _png(data: bytes, at: int) -> tuple[str, int] | None:
-    """Chunks from IHDR to IEND, each with its checksum."""
+class Places:
+    """What validators have found out about some bytes, so that many starts are not followed over the same stretch again and again."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {}
+        self.dead: set[int] = set()  # positions of GIF blocks that lead to no trailer
+        self._archives: dict[int, int] | None = None
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of `mark` from `at` on, or -1. The bytes are searched once for each mark."""
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        found = self.marks[mark]
+        i = bisect.bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def archives(self) -> dict[int, int]:
+        """The end of the archive that starts at a place, by what each end-of-directory record says; of several the first."""
+        if self._archives is None:
+            self._archives, data = {}, self.data
+            pos = -1
+            while (pos := data.find(b"PK\x05\x06", pos + 1)) >= 0 and pos + 22 <= len(data):
+                size, offset, note = struct.unpack_from("<IIH", data, pos + 12)
+                at = pos - size - offset
+                if at >= 0 and data[at + offset : at + offset + 4] == b"PK\x01\x02" and pos + 22 + note <= len(data):
+                    self._archives.setdefault(at, pos + 22 + note)
+        return self._archives
+
+
+def _png(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    """Chunks from IHDR, which has 13 bytes, to IEND, each with its checksum."""
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, pos)
         end = pos + 12 + size
-        if end > len(data) or first != (kind == b"IHDR") or zlib.crc32(data[pos + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+        if end > len(data) or first != (kind == b"IHDR") or first and size != 13 or zlib.crc32(data[pos + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
             return None
         pos, first = end, False
         if kind == b"IEND":
@@ -45,7 +77,7 @@ def _png(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """Marker segments up to a scan, then entropy-coded data up to the end marker."""
     pos, framed = at + 2, False
     while pos + 4 <= len(data) and data[pos] == 0xFF:
@@ -67,29 +99,31 @@ def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> tuple[str, int] | None:
+def _gif(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """Screen descriptor, then extension and image blocks up to the trailer."""
     if at + 13 > len(data):
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    pos = at + 13 + table(data[at + 10])
-    while pos < len(data):
+    pos, passed = at + 13 + table(data[at + 10]), []
+    while pos < len(data) and pos not in places.dead:
         kind = data[pos]
         if kind == 0x3B:
             return "image/gif", pos + 1 - at
+        passed.append(pos)
         if kind == 0x21:
             pos += 2
         elif kind == 0x2C and pos + 10 <= len(data):
             pos += 11 + table(data[pos + 9])
         else:
-            return None
+            break
         while pos < len(data) and data[pos]:
             pos += data[pos] + 1
         pos += 1
+    places.dead.update(passed)
     return None
 
 
-def _riff(data: bytes, at: int) -> tuple[str, int] | None:
+def _riff(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """The outer size, the form type, and chunks that fill the outer size (some writers leave out the last pad byte)."""
     if at + 12 > len(data):
         return None
@@ -101,6 +135,8 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
     pos, names = at + 12, set()
     while pos + 8 <= end:
         name, length = struct.unpack_from("<4sI", data, pos)
+        if not all(0x20 <= c < 0x7F for c in name):
+            return None
         names.add(name)
         pos += 8 + length + length % 2
     if pos not in (end, end + 1) or kind == "audio/wav" and not {b"fmt ", b"data"} <= names:
@@ -108,34 +144,31 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
     return kind, size + 8
 
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and data[at + 5 : at + 6].isdigit() and data.find(b"startxref", at, end) >= 0 else None
+def _pdf(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    end = places.next(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if data[at + 5 : at + 6].isdigit() and at <= places.next(b"startxref", at) < end else None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
+def _zip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """The end-of-directory record whose directory size and offset lead back to this start."""
-    pos = at
-    while (pos := data.find(b"PK\x05\x06", pos + 1)) >= 0 and pos + 22 <= len(data):
-        size, offset, note = struct.unpack_from("<IIH", data, pos + 12)
-        if at + offset + size == pos and data[at + offset : at + offset + 4] == b"PK\x01\x02" and pos + 22 + note <= len(data):
-            return "application/zip", pos + 22 + note - at
-    return None
+    end = places.archives().get(at)
+    return ("application/zip", end - at) if end is not None else None
 
 
-def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
-    unpack = zlib.decompressobj(31)
+def _gzip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    unpack, pos, rest = zlib.decompressobj(31), at, b""
     try:
-        pos = at
-        while not unpack.eof and pos < len(data):
-            unpack.decompress(data[pos : pos + 65536])
-            pos += 65536
+        while not unpack.eof and (rest or pos < len(data)):
+            if not rest:
+                rest, pos = data[pos : pos + 65536], pos + 65536
+            unpack.decompress(rest, 1 << 20)  # what comes out is not kept
+            rest = unpack.unconsumed_tail
         return ("application/gzip", min(pos, len(data)) - len(unpack.unused_data) - at) if unpack.eof else None
     except zlib.error:
         return None
 
 
-def _flac(data: bytes, at: int) -> tuple[str, int] | None:
+def _flac(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """Metadata blocks, the first a stream description of 34 bytes; frames have no total length, so it reaches to the end."""
     pos, first = at + 4, True
     while pos + 4 <= len(data):
@@ -148,7 +181,7 @@ def _flac(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """Consecutive pages, the first of them marked as the beginning of a stream."""
     pos = at
     while data[pos : pos + 4] == b"OggS" and pos + 27 <= len(data) and data[pos + 4] == 0:
@@ -183,12 +216,12 @@ def sniff(data: bytes, declared: str | None = None) -> tuple[str, list[tuple[str
     types, else application/octet-stream. Media inside a carved medium are not carved again, except inside the one at offset 0
     if it is a RIFF file, whose samples may hold anything. Equal starts can't occur. Empty input has no media.
     """
-    whole, embedded, end = None, [], 0
+    whole, embedded, end, places = None, [], 0, Places(data)
     for last, (size, kind) in _automaton().iter(data.decode("latin-1")):
         at = last - size + 1
         if at < end:
             continue
-        got = _VALID[kind](data, at)
+        got = _VALID[kind](data, at, places)
         if got is None:
             continue
         if at == 0:
