@@ -1,7 +1,7 @@
 """WARC archives written by Spark's own text writer, and read back by boundary-chain verification.
 
-Reading: each archive's candidates are all places that hold the record magic; each candidate's header gives the offset of its
-successor. Pointer jumping from the file's start (doubling, log2 of the number of candidates rounds) keeps the reachable
+Reading: each archive's candidates are all places that hold the record magic at the file's start or after a record end, which every
+record has before it; each candidate's header gives the offset of its successor. So no two candidates' headers overlap. Pointer jumping from the file's start (doubling, log2 of the number of candidates rounds) keeps the reachable
 candidates only, so that magic inside a payload, even a whole well-formed record, is never taken for a record.
 """
 
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import fresh_path, materialize, null_key, one
+from glyphmill.llm.common import discard, fresh_path, materialize, null_key, one
 
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 CRLF = "\r\n"
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean, record_offset long"
 
@@ -43,13 +43,14 @@ def _revisits(pages: DataFrame, min_payload: int) -> DataFrame:
     return later.select(F.concat(null_key(F.col("page_id")), F.lit(":"), "h").alias("row_key"), "first").distinct()
 
 
-def write_warc(pages: DataFrame, path: str, *, min_payload: int = 0, records_per_file: int = 1000) -> None:
+def write_warc(pages: DataFrame, path: str, *, min_payload: int = 0, records_per_file: int = 1000, large: int = 1_000_000) -> None:
     """One record per row of `pages` (page_id, url, html): response, or revisit of the smallest page_id with an equal payload.
 
     Null html is an empty payload; null url is empty; a null page_id sorts last. Rows that repeat both page_id and payload are
     each a response if the id is the smallest one. An empty table gives no records. Payloads below `min_payload` bytes are
     never revisits. The records are strings that Spark writes with the record end of the format as line separator, so any
-    file system that Spark writes to will do, and a lost task is written again.
+    file system that Spark writes to will do, and a lost task is written again. Archives hold `records_per_file` records at most;
+    pages of more than `large` bytes have archives of their own, so an archive stays near `records_per_file` x `large` bytes.
     """
     source = one(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
     revisits = materialize(_revisits(source, min_payload), "warc-revisits")  # its size is then known: Catalyst broadcasts it only if small
@@ -72,7 +73,9 @@ def write_warc(pages: DataFrame, path: str, *, min_payload: int = 0, records_per
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block)
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    for name, chosen, most in (("many", n <= large, records_per_file), ("single", n > large, 1)):
+        rows.where(chosen).select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(f"{path}/{name}")
+    discard(revisits)
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -133,8 +136,8 @@ def records(data: bytes) -> Iterator[tuple]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SCHEMA for each record reachable from its archive's start; a broken record ends its archive's chain.
 
-    Archives are read whole, one at a time in a task, by Spark's binary reader: keep them well below 2 GB (write_warc bounds
-    their records). A folder without archives gives no rows.
+    Archives are read whole, one at a time in a task, by Spark's binary reader: keep them below 2 GB, as write_warc does. A folder
+    without archives, at any depth, gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +148,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = list(records(batch.column(0)[i].as_buffer().to_pybytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(SCHEMA.split(", "))], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, SCHEMA)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -50,6 +50,16 @@ def test_chain_skips_magic_in_payloads():
     assert warc.reachable(np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == []
 
 
+def test_false_magic_takes_linear_time():
+    import time
+
+    began = time.time()
+    for junk in (b"WARC/1.1\r\n" * 100_000, b"\r\n\r\nWARC/1.1\r\nContent-Length: 5" * 100_000, b"xWARC/1.0\r\nx" * 100_000):
+        data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % (len(junk) + 4) + b"\r\n\r\n" + junk + b"\r\n\r\n"
+        assert [r[4] for r in warc.records(data)] == [len(junk)]
+    assert time.time() - began < 20
+
+
 def test_warc_round_trip_and_edges(spark):
     evil = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     html = ["a", None, "", "b", "a", evil, evil, "é🙂\r\n\r\nx", "y" * 300_000, "a", "\x00\x01"]
@@ -66,6 +76,8 @@ def test_warc_round_trip_and_edges(spark):
         want.append((i, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None, True))
     got = warc.round_trip(df, records_per_file=3).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    cut = warc.round_trip(df, records_per_file=3, large=2).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok").collect()
+    assert sorted(map(repr, map(tuple, cut))) == sorted(map(repr, want))
     assert warc.round_trip(df.limit(0)).collect() == []
     assert all(r.record_type == "response" for r in warc.round_trip(df, min_payload=1_000_000).collect())
 
@@ -73,7 +85,7 @@ def test_warc_round_trip_and_edges(spark):
 def test_archives_start_with_a_record(spark):
     path = fresh_path(spark, "archives")
     warc.write_warc(spark.createDataFrame([(1, "u", "x"), (2, "v", "x")], "page_id long, url string, html string"), path)
-    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).collect():
         assert bytes(row.content).startswith(b"WARC/1.1\r\n") and bytes(row.content).endswith(b"\r\n\r\n")
 
 
