@@ -8,6 +8,7 @@ that overlap none of these and whose digits or parts make sense for the kind.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -137,7 +138,7 @@ def _coarse(word: str | None) -> int:
 
 def collapsed(word: str) -> str:
     """The word's shape with runs collapsed: x for letters, d for up to four digits, D for more, others as they are."""
-    shape = re.sub("[0-9]+", lambda m: "d" if len(m[0]) <= 4 else "D", re.sub(r"[^\W\d_]+", "x", word[:64]))
+    shape = re.sub("[0-9]+", lambda m: "d" if len(m[0]) <= 4 else "D", re.sub(r"[^\W\d_]+", "x", word))
     return shape.rstrip(",;:!?")
 
 
@@ -145,8 +146,9 @@ def collapsed(word: str) -> str:
 SIZES = (8, 9, 4, 3, 5, 4, 6, 5, 2, 6, 6)
 
 
-def features(words: list[str], shapes: dict[str, int]) -> list[tuple[int, ...]]:
-    near = [_coarse(None), *map(_coarse, words), _coarse(None)]
+def features(words: list[str], shapes: dict[str, int], before: str | None = None, after: str | None = None) -> list[tuple[int, ...]]:
+    """Values of each word's features; before, after: the words around these, if any."""
+    near = [_coarse(before), *map(_coarse, words), _coarse(after)]
     out = []
     for i, w in enumerate(words):
         digits = sum("0" <= c <= "9" for c in w)
@@ -228,6 +230,16 @@ def train(table: tuple[str, ...] = LABELLED, rounds: int = 200, rate: float = 0.
     return Field(*theta, offsets, shapes)
 
 
+def _scores(field: Field, words: list[str], step: int = 20_000) -> np.ndarray:
+    """Each word's score for each label: a few words' features at a time, and of these one feature after another."""
+    out = np.zeros((len(words), len(LABELS)))
+    for i in range(0, len(words), step):
+        value = np.array(features(words[i : i + step], field.shapes, words[i - 1] if i else None, words[i + step] if i + step < len(words) else None)) + field.offsets
+        for f in range(value.shape[1]):
+            out[i : i + step] += field.emit[value[:, f]]
+    return out
+
+
 def viterbi(field: Field, sequences: list[list[str]]) -> list[np.ndarray]:
     """The best labels of each sequence of words; sequences of one length are decoded together."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(sequences)
@@ -239,8 +251,7 @@ def viterbi(field: Field, sequences: list[list[str]]) -> list[np.ndarray]:
             continue
         for c in range(0, len(members), max(1, 200_000 // length)):
             which = members[c : c + max(1, 200_000 // length)]
-            value = np.array([features(sequences[i], field.shapes) for i in which]) + field.offsets
-            score = field.emit[value].sum(axis=2)
+            score = np.stack([_scores(field, sequences[i]) for i in which])
             back = np.zeros(score.shape, np.int8)
             best = field.start + score[:, 0]
             for t in range(1, length):
@@ -283,6 +294,19 @@ def _worth(text: str) -> bool:
     return bool(_DIGIT.search(text)) or "(at)" in text or "[at]" in text
 
 
+def _union(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, ascending and disjoint."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def find_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by kind, then start; in code points."""
     base = [base_spans(t) if _DIGIT.search(t) else [] for t in texts]
@@ -293,6 +317,7 @@ def find_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Sp
                 where.append((i, s))
                 sequences.append([t[a:b] for a, b in s])
     every = [list(b) for b in base]
+    taken = {}
     for (i, words), labels in zip(where, viterbi(field, sequences), strict=True):
         at = 0
         while at < len(words):
@@ -309,8 +334,13 @@ def find_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Sp
             while a < b and texts[i][b - 1] in "\"'>]},;:.!?":
                 b -= 1
             value = re.sub(r"[\x20\x09-\x0D]+", " ", texts[i][a:b])
-            if value and _sensible(kind, value) and not any(x < b and a < y for _, x, y in every[i]):
-                every[i].append((kind, a, b))
+            if value and _sensible(kind, value):
+                if i not in taken:
+                    taken[i] = _union(base[i])  # added spans hold different words, so only these can be met
+                starts, ends = taken[i]
+                last = bisect.bisect_left(starts, b) - 1
+                if last < 0 or ends[last] <= a:
+                    every[i].append((kind, a, b))
             at = end
     return [(b, sorted(e)) for b, e in zip(base, every, strict=True)]
 

@@ -155,6 +155,55 @@ def test_sniffing_needs_structure():
     assert [inner[a - 44 : a - 44 + n] for _, a, n in found] == [packed.getvalue(), gif, gzip.compress(b"x" * 99, mtime=0)]
 
 
+def test_validators_accept_the_formats_and_reject_broken_ones():
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\1\0\0\1\0\1\0\0" + b"\xff\xc0\0\x0b\x08\0\1\0\1\1\1\x11\0" + b"\xff\xda\0\x08\1\1\0\0\x3f\0" + b"\x12\xff\0\x34\xff\xd0\x56" + b"\xff\xd9"
+    pdf = b"%PDF-1.4\n1 0 obj <<>> endobj\nstartxref\n9\n%%EOF"
+    flac = b"fLaC" + b"\x80\0\0\x22" + b"\0" * 34 + b"frames"
+    ogg = b"OggS\0\2" + b"\0" * 20 + b"\1\3abc" + b"OggS\0\4" + b"\0" * 20 + b"\1\2de"
+    riff = lambda form, *chunks: b"RIFF" + struct.pack("<I", 4 + sum(map(len, chunks))) + form + b"".join(chunks)
+    webp, avi = riff(b"WEBP", b"VP8 \4\0\0\0abcd"), riff(b"AVI ", b"LIST\4\0\0\0hdrl")
+    for kind, whole in {"image/png": png, "image/jpeg": jpeg, "application/pdf": pdf, "audio/flac": flac, "audio/ogg": ogg, "image/webp": webp, "video/avi": avi}.items():
+        assert media.sniff(whole, "text/plain") == (kind, []), kind
+        more = b"" if kind == "audio/flac" else b" and more"
+        assert media.sniff(b"some text " + whole + more)[1] == [(kind, 10, len(whole))], kind
+        for broken in (whole[:-1] if kind not in ("audio/flac", "audio/ogg") else whole[:20], whole[: len(whole) // 3]):
+            assert media.sniff(broken, "text/plain") == ("text/plain", []), kind
+    assert media.sniff(png[:40] + b"?" + png[41:])[0] == "application/octet-stream"
+
+
+def test_false_magic_in_media_takes_linear_time():
+    import time
+
+    began = time.time()
+    block = b"GIF89a\1\0\1\0\0\0\0!\xfe\x01"
+    for junk in (b"%PDF-1.4 ", b"PK\x03\x04", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, b"GIF89a", block, b"RIFF\xff\0\0\0WAVE", b"OggS", b"fLaC"):
+        assert media.sniff(junk * 100_000)[0] in ("application/octet-stream", "audio/flac")
+    assert time.time() - began < 30
+
+
+def test_personal_data_in_long_texts_takes_linear_time():
+    import time
+
+    field, began = pii.train(), time.time()
+    many = "mail bob(at)example.com now and 10.0.0.1 too . " * 50_000
+    (base, every), = pii.find_spans(field, [many])
+    assert len(base) == 50_000 and len(every) == 100_000 and every == sorted(every)
+    (base, every), = pii.find_spans(field, ["7 " * 300_000])
+    assert base == every == []
+    assert pii.collapsed("ab" * 100 + "12-3") == "xd-d" and time.time() - began < 120
+
+
+def test_scores_do_not_depend_on_the_step():
+    field = pii.train()
+    words = "call (602) 555-0142 now or +1 828 555 9635 and a@b.org".split()
+    assert (pii._scores(field, words, 3) == pii._scores(field, words)).all()
+
+
 def test_language_accuracy_and_edges(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(table.where(~langid.held_out(F.col("doc_id"))))
