@@ -45,33 +45,37 @@ def highest_quotients(items: DataFrame, group: str, order: str, votes: str, seat
     return items.join(quotas, [group, order], "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
 
 
-def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, block_words: int = 16, shard_docs: int = 500, max_shards: int = 4096, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, block_words: int = 16, shard_docs: int = 500, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns doc_id, size, source_size, target, taken (and those in `keep`), one row per row of `docs`.
 
     size: words of the text (null: 0). Sources in code-point order, null last as a source of its own, weigh `weights`, repeating.
     taken: words that the mix takes from the document, repeats counted, between 0 and `max_repeat` x size. Documents without
-    words give none. Blocks hold `block_words` words, fewer in tables of less than 1,000 blocks. Rows that share an id stand next to each
+    words give none. Blocks hold `block_words` words. Rows that share an id stand next to each
     other, by size; identical rows are exchangeable. The result depends on ids, sources, sizes and the seed only.
 
-    A source's documents are dealt to shards of about `shard_docs` by a hash, so no task holds a whole source; beyond
-    `max_shards` shards they grow. Sizes are written once, so the texts are read once.
+    A source's documents are dealt to shards of about `shard_docs` by a hash, and its shards to groups, about as many as shards in a
+    group, so no task holds a whole source, nor all its shards: blocks go to groups first, then to a group's shards.
+    Sources are few. Sizes are written once, so the texts are read once.
     """
     keys = one(docs, id, source, text, *keep).select(F.col(f"`{id}`").alias("doc_id"), null_key(F.col(f"`{source}`")).alias("skey"), F.coalesce(F.regexp_count(f"`{text}`", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *[F.col(f"`{k}`") for k in keep])
     sized = materialize(keys, "mix-sizes")
     sources = _targets(sized, weights, max_repeat)
     total = F.sum("source_size").over(Window.partitionBy("one"))
-    blocks = sources.withColumn("one", F.lit(1)).withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(total / 1000))).cast("long")).withColumn("seats", F.floor(total / F.col("block") + 0.5).cast("long"))
-    shared = highest_quotients(blocks, "one", "skey", "target", "seats").select("skey", "source_size", "target", "block", F.col("quota").alias("seats"), F.least(F.lit(max_shards), F.ceil(F.col("n") / shard_docs)).cast("long").alias("shards"))
+    blocks = sources.withColumn("one", F.lit(1)).withColumn("seats", F.floor(total / block_words + 0.5).cast("long"))
+    n = F.ceil(F.col("n") / shard_docs)
+    shared = highest_quotients(blocks, "one", "skey", "target", "seats").select("skey", "source_size", "target", F.col("quota").alias("seats"), F.ceil(F.sqrt(n)).cast("long").alias("groups"), F.ceil(n / F.ceil(F.sqrt(n))).cast("long").alias("each"))
     shared = materialize(shared, "mix-sources")
     r = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    dealt = sized.withColumn("r", r).join(shared, "skey").withColumn("shard", F.pmod(F.conv(F.substring("r", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    shards = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    quotas = highest_quotients(shards, "skey", "shard", "shard_size", "seats").select("skey", "shard", "shard_size", "quota")
+    dealt = sized.withColumn("r", r).join(shared, "skey").withColumn("shard", F.pmod(F.conv(F.substring("r", 1, 8), 16, 10).cast("long"), F.col("groups") * F.col("each")))
+    shards = materialize(dealt.groupBy("skey", F.floor(F.col("shard") / F.col("each")).alias("group"), "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats")), "mix-shards")
+    groups = highest_quotients(shards.groupBy("skey", "group").agg(F.sum("shard_size").alias("votes"), F.first("seats").alias("seats")), "skey", "group", "votes", "seats")
+    own = shards.drop("seats").join(groups.select("skey", "group", F.col("quota").alias("seats")), ["skey", "group"]).withColumn("gkey", F.concat("skey", F.lit(":"), F.col("group").cast("string")))
+    quotas = highest_quotients(own, "gkey", "shard", "shard_size", "seats").select("skey", "shard", "shard_size", "quota")
     placed = dealt.withColumn("hi", F.sum("size").over(Window.partitionBy("skey", "shard").orderBy("r", "size").rowsBetween(Window.unboundedPreceding, 0)))
     q = placed.join(materialize(quotas, "mix-quotas"), ["skey", "shard"])
-    words = F.least(F.col("quota") * F.col("block"), F.lit(max_repeat) * F.col("shard_size"))
+    words = F.least(F.col("quota") * block_words, F.lit(max_repeat) * F.col("shard_size"))
     q = q.withColumn("words", words).withColumn("full", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")).withColumn("rest", F.col("words") - F.col("full") * F.col("shard_size"))
-    begin = F.pmod(hash32(F.concat(F.lit(seed + ":"), "skey", F.lit(":"), F.col("shard").cast("string"))), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block")))) * F.col("block")
+    begin = F.pmod(hash32(F.concat(F.lit(seed + ":"), "skey", F.lit(":"), F.col("shard").cast("string"))), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_words))) * block_words
     q = q.withColumn("a", begin.cast("long")).withColumn("lo", F.col("hi") - F.col("size"))
     part = lambda a, b: F.greatest(F.lit(0), F.least(F.col("hi"), b) - F.greatest(F.col("lo"), a))
     taken = F.col("full") * F.col("size") + part(F.col("a"), F.least(F.col("a") + F.col("rest"), F.col("shard_size"))) + part(F.lit(0), F.col("a") + F.col("rest") - F.col("shard_size"))
@@ -112,16 +116,18 @@ s2 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY skey = 'n', skey) - 1)
 s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
        FROM s2 WINDOW w AS (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * weight) AS target, sum(source_size) OVER () AS total FROM s3),
-s5 AS (SELECT *, greatest(1, least(16, floor(total / 1000)))::BIGINT AS block FROM s4),
-s6 AS (SELECT *, floor(total / block + 0.5)::BIGINT AS n_blocks FROM s5),
+s6 AS (SELECT *, floor(total / 16 + 0.5)::BIGINT AS n_blocks FROM s4),
 s7 AS {_quotient_sql("s6", "one", "skey", "target", "n_blocks")},
-src AS (SELECT s6.*, coalesce(s7.quota, 0) AS seats, least(4096, ceil(n / 500))::BIGINT AS shards FROM s6 LEFT JOIN s7 ON s6.skey = s7.o),
-dealt AS (SELECT d.*, src.source_size, src.target, src.block, src.seats, ('0x' || substr(r, 1, 8))::BIGINT % src.shards AS shard FROM sized d JOIN src USING (skey)),
-sh AS (SELECT skey, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS seats, any_value(block) AS block FROM dealt GROUP BY skey, shard),
-qt AS {_quotient_sql("sh", "skey", "shard", "shard_size", "seats")},
-sq AS (SELECT sh.*, least(coalesce(qt.quota, 0) * sh.block, 3 * sh.shard_size) AS words FROM sh LEFT JOIN qt ON sh.skey = qt.g AND sh.shard = qt.o),
+src AS (SELECT s6.*, coalesce(s7.quota, 0) AS seats, ceil(sqrt(ceil(n / 500)))::BIGINT AS groups, ceil(ceil(n / 500) / ceil(sqrt(ceil(n / 500))))::BIGINT AS each FROM s6 LEFT JOIN s7 ON s6.skey = s7.o),
+dealt AS (SELECT d.*, src.source_size, src.target, src.seats, ('0x' || substr(r, 1, 8))::BIGINT % (src.groups * src.each) AS shard, src.each FROM sized d JOIN src USING (skey)),
+sh0 AS (SELECT skey, shard // each AS grp, shard, sum(size)::BIGINT AS shard_size, any_value(seats) AS seats FROM dealt GROUP BY ALL),
+gr AS (SELECT skey, grp, sum(shard_size)::BIGINT AS group_size, any_value(seats) AS seats FROM sh0 GROUP BY ALL),
+gq AS {_quotient_sql("gr", "skey", "grp", "group_size", "seats")},
+sh AS (SELECT skey, shard, shard_size, skey || ':' || sh0.grp AS gkey, coalesce(gq.quota, 0) AS seats FROM sh0 LEFT JOIN gq ON sh0.skey = gq.g AND sh0.grp = gq.o),
+qt AS {_quotient_sql("sh", "gkey", "shard", "shard_size", "seats")},
+sq AS (SELECT sh.*, least(coalesce(qt.quota, 0) * 16, 3 * sh.shard_size) AS words FROM sh LEFT JOIN qt ON sh.gkey = qt.g AND sh.shard = qt.o),
 sa AS (SELECT skey, shard, shard_size, words, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS times,
-              (('0x' || substr(md5('mix:' || skey || ':' || shard), 1, 8))::BIGINT % greatest(1, ceil(shard_size / block)::BIGINT)) * block AS a FROM sq),
+              (('0x' || substr(md5('mix:' || skey || ':' || shard), 1, 8))::BIGINT % greatest(1, ceil(shard_size / 16)::BIGINT)) * 16 AS a FROM sq),
 pl AS (SELECT *, sum(size) OVER (PARTITION BY skey, shard ORDER BY r, size ROWS UNBOUNDED PRECEDING) AS hi FROM dealt),
 j AS (SELECT pl.*, hi - size AS lo, shard_size, times, words - times * shard_size AS rest, a FROM pl JOIN sa USING (skey, shard))
 SELECT doc_id, size, source_size, target,
