@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training adds up hashed n-gram counts by language in the tasks and sums them by a shuffle of bounded size; the matrix of log
-probabilities (languages x buckets) is broadcast, and batches of texts are scored sparsely: only the rows of the n-grams that
-a text holds are gathered and summed.
+probabilities (languages x buckets) is broadcast, and batches of texts are scored sparsely: of all texts' n-grams one after another
+the rows that they hold are gathered, and summed by text.
 """
 
 from __future__ import annotations
@@ -55,14 +55,17 @@ def _windows(text: str, orders: tuple[int, ...], size: int, step: int = 500_000)
             yield _buckets(points[at : at + step + n - 1], n, size)
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 3000, buckets: int = 1 << 16, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.1) -> Model:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 3000, buckets: int = 1 << 16, orders: tuple[int, ...] = (1, 2, 3), smoothing: float = 0.1, max_languages: int = 256) -> Model:
     """Fit on the rows of `docs` whose text and language are not null.
 
     `per_language` bounds the expected number of rows of each language; beyond it a language's rows are thinned by a hash
-    of the id, evenly over the whole table. Languages are few (their counts reach the driver). Without any row the model has no language.
+    of the id, evenly over the whole table. Without any row the model has no language. The model of languages x buckets reaches the driver
+    and every worker, so more than `max_languages` languages are an error.
     """
     rows = one(docs, id, text, lang).toDF("id", "text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), orders)
@@ -88,22 +91,40 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", id: str =
     return Model(languages, np.ascontiguousarray(matrix.T, np.float32), np.log(seen / seen.sum()), orders)
 
 
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and posterior probability of each text, `und` and 0 without letters (or for null, or without any language learnt)."""
+def score_texts(model: Model, texts: list[str | None], held: int = 300_000) -> tuple[list[str], list[float]]:
+    """Language and posterior probability of each text, `und` and 0 without letters (or for null, or without any language learnt).
+
+    About `held` n-grams are looked up at a time, of as many texts as have them; longer texts take several turns."""
     letters, size = _letters(), len(model.log_probability)
-    names, scores = [], []
-    for value in texts:
-        if not value or not model.languages or not letters[_points(value)].any():
-            names.append("und")
-            scores.append(0.0)
-            continue
-        total = model.prior.copy()
-        for b in _windows(value, model.orders, size):
-            total += model.log_probability[b].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))  # the first of equals, in code-point order
-        names.append(model.languages[best])
-        scores.append(float(1 / np.exp(total - total[best]).sum()))
-    return names, scores
+    known = [bool(t and model.languages and letters[_points(t)].any()) for t in texts]
+    total = np.tile(model.prior, (len(texts), 1))
+    waiting: list[np.ndarray] = []
+    of: list[int] = []
+
+    def add_up() -> None:
+        if waiting:
+            starts = np.cumsum([0, *(len(b) for b in waiting[:-1])])
+            np.add.at(total, of, np.add.reduceat(model.log_probability[np.concatenate(waiting)], starts, axis=0, dtype=np.float64))
+            waiting.clear()
+            of.clear()
+
+    n = 0
+    for i, value in enumerate(texts):
+        for b in _windows(value, model.orders, size) if known[i] else ():
+            if len(b):
+                waiting.append(b)
+                of.append(i)
+                n += len(b)
+                if n >= held:
+                    add_up()
+                    n = 0
+    add_up()
+    if not model.languages:
+        return ["und"] * len(texts), [0.0] * len(texts)
+    best = total.argmax(axis=1)  # the first of equals, in code-point order
+    top = total[np.arange(len(texts)), best]
+    score = 1 / np.exp(total - top[:, None]).sum(axis=1)
+    return [model.languages[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)], [s if k else 0.0 for s, k in zip(score.tolist(), known, strict=True)]
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
