@@ -2,7 +2,9 @@
 
 On unit vectors a cosine of c or more is a distance of r = sqrt(2 - 2c) or less. Each vector lives in the cell of its nearest
 pivot; it also visits each cell that the triangle inequality can't rule out: cell j only if d(v, p_j) <= R_j + r, where R_j is
-the largest distance of a resident from its pivot, and d(v, p_j) - d(v, p_home) <= 2 r. Of two cells only one direction is needed.
+the largest distance of a resident from its pivot, and if the vector lies within r of the plane between its own pivot and p_j, which each
+resident of cell j within r of it would have to lie beyond: (d(v, p_j)^2 - d(v, p_home)^2) / (2 d(p_home, p_j)) <= r. Of two cells only one
+direction is needed.
 Cells are cut into blocks of bounded size, and each block joins its residents with a stream of visitors, in double precision.
 
 No pairs leave a block: it gives the number of links of each vector, and edges of a spanning forest for the components. In high
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import materialize, one
+from glyphmill.llm.common import discard, materialize, one
 from glyphmill.operators.components import components
 
 BLOCK = 1024
-SLACK = 1e-9  # rounding of distances; only ever adds visits
+SLACK = 1e-7  # rounding of distances; only ever adds visits
 
 
 @dataclass
@@ -34,23 +36,29 @@ class Cells:
     first_unit: np.ndarray
     blocks: np.ndarray
     radius: np.ndarray
+    apart: np.ndarray  # distances of pivots from each other
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, key and components as doubles; key and components are null for vectors that link with nothing."""
+    """vec_id, 128 bits of hash and components as doubles; hashes and components are null for vectors that link with nothing."""
     import xxhash
 
     for batch in batches:
-        keys, raws = [], []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or any(c is None for c in v) else np.array(v, float)
-            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                keys.append(None)
-                raws.append(None)
+        lists = batch.column(1)
+        flat = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # null is not a number; -0.0 and 0.0 are equal
+        edges = lists.offsets.to_numpy()
+        high, low, raws = [], [], []
+        for a, b, there in zip(edges[:-1].tolist(), edges[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
+            x = flat[a:b]
+            if there and len(x) and np.isfinite(x).all() and x.any():
+                raws.append(x.tobytes())
+                h = xxhash.xxh3_128_digest(raws[-1])
+                high.append(int.from_bytes(h[:8], "big", signed=True))
+                low.append(int.from_bytes(h[8:], "big", signed=True))
             else:
-                raws.append((x + 0.0).tobytes())  # -0.0 and 0.0 are equal
-                keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(raws[-1])).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["vec_id", "key", "raw"])
+                for column in (high, low, raws):
+                    column.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(raws, pa.binary())], ["vec_id", "high", "low", "raw"])
 
 
 def _unit(raws: list[bytes]) -> np.ndarray:
@@ -59,6 +67,11 @@ def _unit(raws: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _mixed(key: np.ndarray) -> np.ndarray:
+    x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ pivots.T)))
 
@@ -77,15 +90,16 @@ def vector_components(vectors: DataFrame, *, id: str = "vec_id", embedding: str
 
     n_links counts other rows with a cosine of `min_cosine` or more, copies included; component_id is the smallest vec_id reachable by
     links. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different lengths with
-    each other. Equal vectors are one node that counts as many rows. A null id is smallest only if all of its component's are.
+    each other. Equal vectors (by 128 bits of hash) are one node, known by its number, that counts as many rows. A null id is smallest only if all of its component's are.
     At most `max_pivots` pivots, chosen by a hash of the vectors, are broadcast. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     source = one(vectors, id, embedding).toDF("vec_id", "embedding")
     kind = source.schema["vec_id"].dataType.simpleString()
-    rows = source.mapInArrow(_rows, f"vec_id {kind}, key long, raw binary")
-    nodes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "vector-nodes")
-    ids = materialize(rows.select("vec_id", "key"), "vector-ids")
+    rows = source.mapInArrow(_rows, f"vec_id {kind}, high long, low long, raw binary")
+    distinct = rows.where("high is not null").groupBy("high", "low").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
+    nodes = materialize(distinct.withColumn("key", F.monotonically_increasing_id()), "vector-nodes")  # numbers stay as written
+    ids = materialize(rows.select("vec_id", "high", "low").join(nodes.select("high", "low", "key"), ["high", "low"], "left").select("vec_id", "key"), "vector-ids")
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     cells = _cells(nodes, cell_size, max_pivots)
     sent = spark.sparkContext.broadcast(cells)
@@ -98,9 +112,11 @@ def vector_components(vectors: DataFrame, *, id: str = "vec_id", embedding: str
                 home = far.argmin(axis=1)
                 near = far[np.arange(len(x)), home]
                 key = batch.column(0).to_numpy()[at]
-                block = key.astype(np.uint64) % c.blocks[home].astype(np.uint64)
+                block = _mixed(key) % c.blocks[home].astype(np.uint64)
                 unit = c.first_unit[home] + block.astype(np.int64)
-                visit = (far <= c.radius + radius + SLACK) & (far - near[:, None] <= 2 * radius + SLACK)
+                apart = c.apart[home]
+                beyond = far * far - (near * near)[:, None] <= 2 * apart * (radius + SLACK) + SLACK
+                visit = (far <= c.radius + radius + SLACK) & (beyond | (apart < 1e-6))
                 visit[np.arange(len(x)), home] = True
                 who, cell = np.nonzero(visit)
                 reps = c.blocks[cell]
@@ -119,7 +135,8 @@ def vector_components(vectors: DataFrame, *, id: str = "vec_id", embedding: str
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b"))
     placed = materialize(nodes.select("key", "rep", "copies").join(links, "key", "left").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "vector-placed")
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("smallest"), F.count(F.lit(1)).alias("size"))
+    discard(found, roots, nodes)
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("smallest"))
     by_key = placed.join(smallest, "root").select("key", "n_links", "smallest")
     out = ids.join(by_key, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("smallest")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -151,7 +168,7 @@ def _cells(nodes: DataFrame, cell_size: int, max_pivots: int) -> dict[int, Cells
         for row in found:
             if row["d"] == d:
                 blocks[row["cell"]], reach[row["cell"]] = -(-row["n"] // cell_size), row["r"]
-        out[d] = Cells(p, unit + np.cumsum(blocks) - blocks, blocks, reach)
+        out[d] = Cells(p, unit + np.cumsum(blocks) - blocks, blocks, reach, _distances(p, p))
         unit += int(blocks.sum())
     return out
 
