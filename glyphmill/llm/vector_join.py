@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import discard, materialize, one
 from glyphmill.operators.components import components
 
-BLOCK = 1024
+BLOCK = 4096  # residents of a block; a vector is sent once to each block that it may have links in
 SLACK = 1e-7  # rounding of distances; only ever adds visits
 
 

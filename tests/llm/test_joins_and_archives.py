@@ -237,7 +237,7 @@ def brute_vectors(rows, least=0.95):
     return [(i, n, c, i == c) for (i, _), n, c in zip(rows, counts, comps, strict=True)]
 
 
-@pytest.mark.parametrize("cell_size", [4, 40, 1024])
+@pytest.mark.parametrize("cell_size", [4, 40, 4096])
 def test_vector_components_equal_brute_force(spark, cell_size):
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(12, 8))
