@@ -135,18 +135,18 @@ def _signatures(s: np.ndarray, hot: np.ndarray, band: int, percent: int, k: int)
 
 
 def _describe(width: int) -> Callable:
-    """doc_id, n, key, bits of each document, and shingles that are frequent within a batch, with their counts."""
+    """doc_id, text_hash, n, key, bits of each document, and shingles that are frequent within a batch, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "key", "bits", "hot"]
+        names = ["doc_id", "text_hash", "n", "key", "bits", "hot"]
         for batch in batches:
             for part in byte_slices(batch, 1, 32_000_000):
                 sets = [shingles(t, width) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int64())], names)
                 seen, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = np.flatnonzero(counts >= max(4, n // 2500))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(often), part.column(0).type), pa.nulls(len(often), pa.int64()), pa.array(seen[often].astype(np.int64)), pa.nulls(len(often), pa.binary()), pa.array(counts[often].astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(often), part.column(0).type), *[pa.nulls(len(often), pa.int64())] * 2, pa.array(seen[often].astype(np.int64)), pa.nulls(len(often), pa.binary()), pa.array(counts[often].astype(np.int64))], names)
 
     return run
 
@@ -226,8 +226,9 @@ def _plausible_pairs(n: np.ndarray, bits: Parities, i: np.ndarray, m: np.ndarray
     return keep
 
 
-def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, hot_size: int = 1 << 17, rounds: int = 2) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id: one row per row of `docs`.
+def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, hot_size: int = 1 << 17, rounds: int = 2, detail: bool = False) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id: one row per row of `docs`. With `detail` also root, a number that only the rows of one
+    component have, null without words, and text_hash, Spark's xxhash64 of the text: ids may repeat, so they need not tell rows apart.
 
     Documents link when 100 * |A and B| >= `percent` * |A or B| over their sets of `width`-word shingles; component_id is the smallest
     doc_id reachable by links. Equal sets link, whatever their texts' case and spacing. Documents without words (null, empty or
@@ -240,7 +241,7 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
         raise ValueError("percent must lie between 50 and 100")
     source = one(docs, id, text).toDF("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    described = materialize(source.mapInArrow(_describe(width), f"doc_id {kind}, n long, key long, bits binary, hot long"), "jaccard-sets")
+    described = materialize(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe(width), f"doc_id {kind}, text_hash long, n long, key long, bits binary, hot long"), "jaccard-sets")
     info = described.where("hot is null").drop("hot")
     nodes = materialize(info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "jaccard-nodes")
     members = _shared(source, described, nodes, width, percent, hot_size)
@@ -265,9 +266,9 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
     placed = materialize((own.join(roots.select(F.col("node").alias("key"), "root"), "key", "left") if roots else own.withColumn("root", F.col("key"))).withColumn("root", F.coalesce("root", "key")), "jaccard-placed")
     discard(nodes, roots)
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = placed.join(smallest, "root").select("key", F.col("component_id"))
+    by_key = placed.join(smallest, "root").select("key", "root", "component_id")
     out = info.join(by_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["root", "text_hash"] * detail)
 
 
 def _shared(source: DataFrame, described: DataFrame, nodes: DataFrame, width: int, percent: int, hot_size: int) -> DataFrame:
