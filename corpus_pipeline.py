@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import byte_bpe, jaccard_join, langid, line_dedup, mixing
-from glyphmill.llm.common import fresh_path
+from glyphmill.llm.common import fresh_path, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
@@ -36,11 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays, with all rows of that id; documents without words or id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    kept = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return _documents(out)
+    """Of each component of similar documents one row stays: that with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Rows that repeat both id and text are one row then. Documents without words have no component and all stay.
+    """
+    found = materialize(jaccard_join.jaccard_components(docs, detail=True), "near-duplicates")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "times")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash", "first.times")
+    blank = rows.where("root is null").select("doc_id", "text_hash", F.lit(1).alias("times"))
+    kept = materialize(first.union(blank).toDF("kept_id", "kept_hash", "times").distinct(), "near-duplicates-kept")
+    of = lambda k: docs.join(k, docs["doc_id"].eqNullSafe(k["kept_id"]) & (F.xxhash64(docs["text"]) == k["kept_hash"]), "left_semi")
+    repeated = of(kept.where("times > 1"))
+    return _documents(of(kept.where("times = 1"))).union(_documents(repeated.dropDuplicates(["doc_id", "text"])))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
