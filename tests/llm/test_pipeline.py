@@ -39,6 +39,27 @@ def test_run_equals_brute_force(spark):
     assert got == want and len({g[0] for g in got}) > 100
 
 
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("root", F.lit("clash")).withColumn("times", F.lit("clash"))
+
+
+def test_near_duplicates_keep_one_row_where_ids_repeat_or_are_null(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    other, third = "quite another text of its own kind in every single word here", "and a third text that nothing else in the table is like"
+    rows = [(5, near, "en", "a", 1), (5, near, "en", "a", 1), (7, near + " more", "en", "a", 1), (5, other, "en", "a", 1), (None, other, "en", "b", 1), (None, third, "en", "b", 1), (None, third, "en", "b", 1), (8, None, None, None, None), (9, "", "en", "c", 0), (9, " ", "en", "c", 0)]
+    got = corpus_pipeline.near_duplicates(spark, table(spark, rows), SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted([(False, 5, near), (False, 5, other), (True, 0, third), (False, 8, ""), (False, 9, ""), (False, 9, " ")])
+
+
+def test_stages_take_empty_tables_nulls_and_clashing_names(spark):
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (None, "some words in no language", None, "s", 25), (2, "a\nb\nc", "xx", None, 5), (2, "a\nb\nc", "xx", None, 5)]
+    for docs in (table(spark, rows), table(spark, rows).limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == list(corpus_pipeline.COLUMNS) and out.count() <= 3 * len(rows), name
+        assert corpus_pipeline.encode(spark, docs, SF).count() == docs.count()
+
+
 def test_registered_once_each():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
