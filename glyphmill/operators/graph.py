@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.storage import materialize
@@ -196,10 +196,15 @@ def _scaled(df: DataFrame, c: str) -> DataFrame:
     return df.crossJoin(F.broadcast(top)).withColumn(c, F.col(c) / F.col("__top")).drop("__top")  # one row
 
 
+def _draw(seed: int, salt: int, *of: str) -> Column:
+    """A number below 2^32 that is drawn for each row by its values in `of`: the first 32 bits of an MD5."""
+    text = F.concat_ws(":", F.lit(seed), F.lit(salt), *of)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def random_edges(spark: SparkSession, nodes: int, edges: int, seed: int = 7) -> DataFrame:
-    """A uniform graph of about `edges` distinct edges without loops, by hashes of the edge's number."""
-    pick = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(nodes))
-    return spark.range(edges).select(pick(1).alias("src"), pick(2).alias("dst")).where("src <> dst").distinct()
+    """A uniform graph of about `edges` distinct edges without loops, drawn by the edge's number."""
+    return spark.range(edges).select((_draw(seed, 1, "id") % nodes).alias("src"), (_draw(seed, 2, "id") % nodes).alias("dst")).where("src <> dst").distinct()
 
 
 def complete_edges(spark: SparkSession, nodes: int) -> DataFrame:
@@ -221,7 +226,7 @@ def dense_blocks(spark: SparkSession, noise: bool = True, camouflage: bool = Tru
     """Planted dense blocks on the diagonal, with optional noise block and camouflage edges between all sources and targets."""
     blocks = [*BLOCKS, *([NOISE] if noise else [])]
     n_src, n_dst = sum(b[0] for b in blocks), sum(b[1] for b in blocks)
-    chance = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "src", "dst"), F.lit(1_000_000)) / 1e6
+    chance = lambda salt: _draw(seed, salt, "src", "dst") / 2.0**32
     out, a, b = [], 0, n_src
     for i, (r, c, p) in enumerate(blocks):
         cells = spark.range(a, a + r).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(b).cast("long"), F.lit(b + c - 1).cast("long"))).alias("dst"))

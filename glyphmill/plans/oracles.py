@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glyphmill.functions import text
+from glyphmill.operators import graph
 
 WS = r"[^ \t\n\r\f\v]+"
 
@@ -102,6 +103,26 @@ SELECT view, n::BIGINT AS n, round(CASE WHEN s = st AND s = sp THEN 1.0 ELSE (s
 LABELLED = "lb AS (SELECT c.doc_id, c.cluster, c.size, coalesce(1 - l.quality, 0) AS label FROM cl c LEFT JOIN labels l USING (doc_id))"
 
 
+def _draw(seed: int, salt: int, *of: str) -> str:
+    return "('0x' || substr(md5(" + " || ':' || ".join([f"'{seed}:{salt}'", *of]) + "), 1, 8))::BIGINT"
+
+
+def _blocks(seed: int = 11) -> str:
+    """The generator's blocks by their corners and densities, noise last."""
+    rows, a, b = [], 0, sum(r for r, _, _ in (*graph.BLOCKS, graph.NOISE))
+    for i, (r, c, p) in enumerate((*graph.BLOCKS, graph.NOISE)):
+        rows.append(f"SELECT s.range AS src, t.range AS dst FROM range({a}, {a + r}) s, range({b}, {b + c}) t WHERE {_draw(seed, i, 's.range', 't.range')} / 4294967296.0::DOUBLE < {p}")
+        a, b = a + r, b + c
+    rows.append(f"SELECT s.range, t.range FROM range({a}) s, range({a}, {b}) t WHERE {_draw(seed, 99, 's.range', 't.range')} / 4294967296.0::DOUBLE < {graph.CAMOUFLAGE}")
+    return " UNION ".join(rows)
+
+
+def _sweep(functions: int, buckets: int) -> str:
+    of = f"(SELECT DISTINCT doc_id, phrase, fn, ('0x' || substr(md5(fn || ':' || phrase), 1, 8))::BIGINT % {buckets} AS bucket FROM top, range({functions}) f(fn))"
+    hubs = f"(SELECT *, min(doc_id) OVER (PARTITION BY fn, bucket) AS hub FROM {of})"
+    return f"SELECT {functions} AS functions, {buckets} AS buckets, (SELECT max(n) FROM (SELECT count(*) AS n FROM {of} GROUP BY fn, bucket)) AS fullest, (SELECT count(DISTINCT (doc_id, hub)) FROM {hubs} WHERE hub <> doc_id) AS links"
+
+
 def _log_star(x: str) -> str:
     return f"CASE WHEN {x} <= 0 THEN 0 WHEN {x} = 1 THEN 1 ELSE 2 * length(ltrim(bin({x} - 1), '0')) + 1 END"
 
@@ -110,6 +131,7 @@ NEXT = "cg AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM linei
 SUPPLY = "sp AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst FROM lineitem)"
 POINTS = "pt AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 DAYS = "dy AS (SELECT strftime(ts, '%Y %m %d') AS bucket, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)"
+LINES = f"ln AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text NULLS FIRST) - 1 AS doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g'), '{WS}') AS w FROM conversations)"
 CITY = "pc AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), sz AS (SELECT n_name, 1000 * (n_nationkey + 1) AS size FROM nation WHERE 1000 * (n_nationkey + 1) < 20000)"
 BUCKETS = "bu AS (SELECT doc_id, phrase, fn, ('0x' || substr(md5(fn || ':' || phrase), 1, 8))::BIGINT % {n} AS bucket FROM top, range(128) f(fn))"
 
@@ -208,6 +230,20 @@ SQL = {
     "generated_bipartite": "SELECT a.range AS src, b.range + 20 AS dst FROM range(20) a, range(30) b",
     "lsh_shared_buckets": f"WITH {TOP}, {BUCKETS.format(n=4096)}, u AS (SELECT DISTINCT doc_id, fn, bucket FROM bu), h AS (SELECT fn, bucket, min(doc_id) AS hub FROM u GROUP BY ALL) SELECT doc_id, hub, count(DISTINCT fn) AS n FROM u JOIN h USING (fn, bucket) WHERE hub <> doc_id GROUP BY ALL",
     "lsh_bucket_occupancy": f"WITH {TOP}, {BUCKETS.format(n=256)}, u AS (SELECT DISTINCT doc_id, phrase, fn, bucket FROM bu) SELECT fn::INTEGER AS fn, bucket, count(DISTINCT phrase) AS phrases, count(*) AS docs FROM u GROUP BY fn, bucket",
+    "generated_random": f"SELECT DISTINCT * FROM (SELECT {_draw(7, 1, 'range')} % 1000 AS src, {_draw(7, 2, 'range')} % 1000 AS dst FROM range(5000)) WHERE src <> dst",
+    "generated_blocks": _blocks(),
+    "lsh_parameter_sweep": f"WITH {TOP} " + " UNION ALL ".join(_sweep(f, b) for f in (16, 64) for b in (256, 4096)),
+    "source_csv": "SELECT doc_id, text, source AS title FROM documents",
+    "source_roles": "SELECT conv_id AS doc_id, text FROM conversations",
+    "source_edge_list": f"WITH {NEXT} SELECT src, dst FROM cg",
+    "source_graph": f"""WITH {NEXT}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS node FROM (SELECT src AS id FROM cg UNION SELECT dst FROM cg))
+        SELECT node, count(src) AS n FROM n LEFT JOIN cg ON src = id GROUP BY node""",
+    "source_lines": f"WITH {LINES} SELECT doc_id, array_to_string(w, ' ') AS line FROM ln",
+    "source_line_bigrams": f"WITH {LINES}, b AS (SELECT flatten([['<s>'], w, ['</s>']]) AS w FROM ln), g AS (SELECT unnest({_grams('w', 2, 2)}) AS phrase FROM b) SELECT phrase, count(*) AS n FROM g GROUP BY phrase",
+    "source_templates": "SELECT p_partkey || '|' || p_name AS texts, '1,' || p_size AS kinds, p_brand || ',' || p_type AS patterns FROM part",
+    "source_ids": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "sink_labels": f"{COARSE}, lb AS (SELECT doc_id, text, CASE WHEN size >= 2 THEN cluster END AS label FROM cl JOIN documents USING (doc_id)) SELECT *, 'full' AS part FROM lb UNION ALL SELECT *, 'labelled' FROM lb WHERE label IS NOT NULL",
+    "cluster_report": f"{COARSE} SELECT cluster, cluster || ' & ' || size || ' & ' || translate(coalesce(text, ''), '{text.REPORT_MARKS}', '{'.' * len(text.REPORT_MARKS)}') || ' \\\\' AS latex FROM cl JOIN documents USING (doc_id) WHERE size >= 2 AND doc_id = cluster",
     "events_tumbling": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, sid""",

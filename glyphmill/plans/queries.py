@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import coding, text
 from glyphmill.operators import cluster, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
-from glyphmill.operators.storage import materialize
+from glyphmill.operators.storage import fresh_path, materialize
+from glyphmill.sources import readers
 from glyphmill.streaming import live
 
 T = DataFrame
@@ -530,6 +531,96 @@ def lsh_bucket_occupancy(spark: S, d: str) -> T:
     return lsh.occupancy(coarse_top_phrases(spark, d), 128, 256)
 
 
+def lsh_chain_components(spark: S, d: str) -> T:
+    return lsh.chain_components(lsh_chain_clusters(spark, d))
+
+
+def lsh_parameter_sweep(spark: S, d: str) -> T:
+    return lsh.parameter_sweep(coarse_top_phrases(spark, d), [(16, 256), (16, 4096), (64, 256), (64, 4096)])
+
+
+# --- sources and sinks: written to the shared folder, and what reading gives
+
+
+def source_csv(spark: S, d: str) -> T:
+    """Documents as CSV under other names, which are found by their roles."""
+    path = fresh_path(spark, "csv")
+    readers.write_csv(table(spark, d, "documents").select(F.col("source").alias("title"), F.col("text").alias("u_Description"), F.col("doc_id").alias("ad_id")), path)
+    return readers.read_documents(spark, path, schema="title string, u_Description string, ad_id long")
+
+
+def source_roles(spark: S, d: str) -> T:
+    return readers.resolve_roles(table(spark, d, "conversations"), doc_id="conv_id")
+
+
+def source_edge_list(spark: S, d: str) -> T:
+    path = fresh_path(spark, "edge-list")
+    graph = _customer_graph(spark, d).select(F.concat_ws(" ", "src", "dst").alias("value"))
+    graph.union(spark.createDataFrame([("# a line that is no edge",)], "value string")).write.text(path)
+    return readers.read_edges(spark, path)
+
+
+def source_graph(spark: S, d: str) -> T:
+    """Nodes of a stored graph with the edges that leave them."""
+    path = fresh_path(spark, "graph")
+    readers.write_graph(graph.densify(_customer_graph(spark, d))[0], path)
+    nodes, edges = readers.read_graph(spark, path)
+    return nodes.join(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")), "node", "left").fillna(0, ["n"])
+
+
+def _line_file(spark: S, d: str) -> T:
+    path = fresh_path(spark, "lines")
+    turns = table(spark, d, "conversations").orderBy("conv_id", "turn", "text")
+    turns.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value")).write.text(path)
+    return readers.read_lines(spark, path)
+
+
+def source_lines(spark: S, d: str) -> T:
+    return _line_file(spark, d).select("doc_id", F.array_join("words", " ").alias("line"))
+
+
+def source_line_bigrams(spark: S, d: str) -> T:
+    grams = _line_file(spark, d).select(F.explode(text.ngrams(text.with_bounds(F.col("words")), 2, 2)).alias("phrase"))
+    return grams.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_templates(spark: S, d: str) -> T:
+    """Parts as lines of a template file: two texts, then kinds and patterns."""
+    path = fresh_path(spark, "template-file")
+    table(spark, d, "part").select(F.concat_ws("|", "p_partkey", "p_name", F.concat_ws(",", F.lit(1), "p_brand", "p_size", "p_type")).alias("value")).write.text(path)
+    kinds, patterns = F.transform("parts", lambda p: p["kind"].cast("string")), F.transform("parts", lambda p: p["pattern"])
+    return readers.read_templates(spark, path).select(F.array_join("texts", "|").alias("texts"), F.array_join(kinds, ",").alias("kinds"), F.array_join(patterns, ",").alias("patterns"))
+
+
+def source_ids(spark: S, d: str) -> T:
+    """Documents whose id a file lists."""
+    path = fresh_path(spark, "ids")
+    table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("value")).write.text(path)
+    return table(spark, d, "documents").join(readers.read_ids(spark, path), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+def sink_labels(spark: S, d: str) -> T:
+    """Texts with their cluster, from the file of all and the file of those that have one."""
+    path = fresh_path(spark, "labels")
+    labelled = cluster.labels(_coarse(spark, d), 2)
+    readers.write_labels(table(spark, d, "documents").select("doc_id", "text").join(labelled, "doc_id"), path)
+    read = lambda part: readers.read_documents(spark, f"{path}/{part}", fmt="csv", schema="doc_id long, text string, label long").withColumn("part", F.lit(part))
+    return read("full").unionByName(read("labelled"))
+
+
+def sink_template_tables(spark: S, d: str) -> T:
+    """Rates and members by template, read back from the results tree."""
+    path = fresh_path(spark, "results")
+    readers.write_templates(materialize(_mined(spark, d, _coarse(spark, d).where("size >= 2")), "mined"), path)
+    rates = spark.read.option("header", True).schema("cluster long, initial_cost long, final_cost long, templates int, docs long, rate double").csv(f"{path}/compression_rate")
+    pages = spark.read.parquet(f"{path}/templates").groupBy("cluster").agg(F.count(F.lit(1)).alias("pages"))
+    return rates.join(pages, "cluster", "left").fillna(0, ["pages"])
+
+
+def template_docx(spark: S, d: str) -> T:
+    return templates.to_docx(_mined(spark, d, _coarse(spark, d).where("size >= 2")))
+
+
 # --- streaming forms over tables
 
 
@@ -596,10 +687,8 @@ def bigram_presence(spark: S, d: str) -> T:
 
 
 def cluster_report(spark: S, d: str) -> T:
-    from glyphmill.sources.readers import latex_rows
-
     docs = table(spark, d, "documents")
-    return latex_rows(_coarse(spark, d).where("size >= 2 and doc_id = cluster").join(docs.select("doc_id", "text"), "doc_id").select("cluster", "size", "text"))
+    return readers.latex_rows(_coarse(spark, d).where("size >= 2 and doc_id = cluster").join(docs.select("doc_id", "text"), "doc_id").select("cluster", "size", "text"))
 
 
 def alignment_graphs(spark: S, d: str) -> T:

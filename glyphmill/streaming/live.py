@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glyphmill.operators.cluster import merge_batch
@@ -52,3 +53,23 @@ class GrowingClusters:
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ProgressLog(StreamingQueryListener):
+    """Hands `write` a line of JSON for each micro-batch of a session's streams: name, batch, rows, and milliseconds by phase."""
+
+    def __init__(self, write: Callable[[str], object]):
+        self.write = write
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.write(json.dumps({"name": p.name, "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "ms": dict(p.durationMs)}))
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.write(json.dumps({"name": event.name, "started": event.timestamp}))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.write(json.dumps({"ended": str(event.id), "error": event.exception}))

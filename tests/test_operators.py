@@ -305,6 +305,95 @@ def test_roles_and_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/labelled")).count() == 1
 
 
+def test_csv_round_trip_and_empty_tables(spark, tmp_path):
+    rows = [(1, 'say "so", then'), (2, " spaces "), (3, "two\nlines"), (4, "carriage\rreturn"), (5, ""), (6, None), (7, "back\\slash"), (None, "no id"), (1, "again")]
+    kind = "doc_id long, text string, label long"
+    labelled = spark.createDataFrame([(*r, 1 if i % 2 else None) for i, r in enumerate(rows)], kind)
+    readers.write_labels(labelled, str(tmp_path / "out"))
+    back = readers.read_documents(spark, str(tmp_path / "out/full"), schema=kind)
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, labelled.collect())))
+    assert readers.read_documents(spark, str(tmp_path / "out/labelled"), schema=kind).count() == 4
+    readers.write_labels(labelled.limit(0), str(tmp_path / "none"))
+    assert readers.read_documents(spark, str(tmp_path / "none/full"), schema=kind).count() == 0
+
+
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("short\n")
+    (tmp_path / "b.txt").write_text("".join(f"line {i} of the longer file\n" for i in range(50)))
+    (tmp_path / "c.txt").write_text("last\n")
+    got = [r.words for r in readers.read_lines(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got[0] == ["short"] and [w[1] for w in got[1:51]] == [str(i) for i in range(50)] and got[51] == ["last"]
+
+
+def test_stored_graph_and_log(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    readers.write_graph(edges, str(tmp_path / "g"), spark.range(9, 10).toDF("node"))
+    nodes, back = readers.read_graph(spark, str(tmp_path / "g"))
+    assert sorted(r.node for r in nodes.collect()) == [1, 2, 3, 9] and sorted(map(tuple, back.collect())) == [(1, 2), (2, 3)]
+    for score in (0.5, 0.75):
+        readers.append_log(spark.createDataFrame([(score,)], "nmi double"), str(tmp_path / "log"), run="sweep")
+    assert sorted((r.run, r.nmi) for r in spark.read.json(str(tmp_path / "log")).collect()) == [("sweep", 0.5), ("sweep", 0.75)]
+
+
+def test_local_alignment_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        a, b = (list(rng.choice(list("abcd"), rng.integers(1, 12))) for _ in range(2))
+        score = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                hit = score[i - 1, j - 1] + (templates.MATCH if a[i - 1] == b[j - 1] else templates.MISMATCH)
+                score[i, j] = max(0, hit, score[i - 1, j] + templates.GAP, score[i, j - 1] + templates.GAP)
+        path = templates.align(np.array(b, dtype=object), templates.WordGraph.chain(a), local=True)
+        worth = sum(templates.GAP if j is None or v is None else templates.MATCH if a[v] == b[j] else templates.MISMATCH for j, v in path)
+        assert worth == score.max()
+        for run in ([j for j, _ in path if j is not None], [v for _, v in path if v is not None]):
+            assert run == list(range(run[0], run[0] + len(run))) if run else not path
+    assert templates.align(np.array([], dtype=object), templates.WordGraph.chain(["a"]), local=True) == []
+
+
+def test_documents_of_templates_are_split_and_readable(spark):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    row = lambda d: (1, d, 1, [{"code": 0, "word": "a<b"}, {"code": 1, "word": "&\x01"}])
+    mined = spark.createDataFrame([row(d) for d in range(5)] + [(1, 9, 0, [])], "cluster long, doc_id long, template_no int, codes array<struct<code:int,word:string>>")
+    got = templates.to_docx(mined, per_file=2).orderBy("part").collect()
+    texts = []
+    for r in got:
+        xml = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(r.docx)).read("word/document.xml"))
+        texts.append(["".join(p.itertext()) for p in xml.iter() if p.tag.endswith("}p")])
+    assert [len(t) for t in texts] == [2, 2, 1] and {x for t in texts for x in t} == {"a<b & "}
+
+
+def test_chain_components_equal_a_union_of_sets(spark):
+    rows = [(10, 0, "chain", []), (11, 1, "chain", [0]), (12, 2, "chain", []), (13, 1, "duplicate", []), (14, 3, "chain", [2, 1]), (15, 4, "chain", []), (16, 4, "duplicate", [])]
+    kind = "doc_id long, cluster_id long, kind string, predecessors array<long>"
+    got = {r.doc_id: r.component for r in lsh.chain_components(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {10: 10, 11: 10, 12: 10, 13: 10, 14: 10, 15: 15, 16: 15}
+    assert lsh.chain_components(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_progress_is_logged(spark, tmp_path):
+    import json
+    import time
+
+    lines: list[str] = []
+    log = live.ProgressLog(lines.append)
+    spark.streams.addListener(log)
+    try:
+        spark.createDataFrame([(1,), (2,)], "x long").write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("x long").parquet(str(tmp_path / "in"))
+        stream.writeStream.queryName("logged").foreachBatch(lambda df, n: df.count()).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+        until = time.time() + 20
+        while time.time() < until and not any(json.loads(x).get("rows") == 2 for x in list(lines)):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert any(json.loads(x).get("rows") == 2 and json.loads(x)["name"] == "logged" for x in lines)
+
+
 def test_live_frequency_equals_replay(spark, tmp_path):
     rows = spark.createDataFrame([(d, d, p, 1) for d in range(6) for p in ("a", "b", "c")[: 1 + d % 3]], "doc_id long, seq long, phrase string, tf long")
     for i in range(3):
