@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op6_vector_join": vector_join.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op6_vector_join": vector_join.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE}

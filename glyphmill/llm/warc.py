@@ -157,3 +157,15 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(pages, path, **options)
     return read_warc(spark, path)
+
+
+#: Base 32 is written by fives of hexadecimal digits, twenty bits or four letters each. pages has no repeated page_id.
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INTEGER, 5))::BIGINT) AS fives FROM h),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest FROM d),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM b)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS digest_ok FROM r
+"""
