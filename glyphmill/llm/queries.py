@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import byte_bpe, jaccard_join, langid, line_dedup, media, mixing, pii, resampling, spelling, token_counts, vector_join, warc
+from glyphmill.llm import byte_bpe, jaccard_join, langid, line_dedup, media, mixing, pii, resampling, spelling, suffix_tree, token_counts, vector_join, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_line_dedup, op4_mixing, op5_pii, op6_vector_join, op7_jaccard_join, op8_token_counts, op9_media, op10_byte_bpe, op11_spelling, op12_resampling)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_line_dedup, op4_mixing, op5_pii, op6_vector_join, op7_jaccard_join, op8_token_counts, op9_media, op10_byte_bpe, op11_spelling, op12_resampling, op13_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
