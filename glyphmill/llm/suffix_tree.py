@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphmill.llm import runs
 from glyphmill.llm.common import byte_slices, materialize
@@ -31,7 +32,8 @@ END = np.uint64(0x9D8A6C6B5F0E21D3)
 TOKEN, PAIR, TRIPLE = 1, 2, 3
 _KEYS = "kind int, part long, slab long, keys binary, counts binary"
 _TOTALS = "slab long, kind int, part long, totals binary, owned binary, n_keys long, n_all long"
-_CONTEXTS = "slab long, context long, shorter long, n long, gain double"
+_CONTEXTS = "kind int, part long, slab long, keys binary, counts binary, gains binary, shorter binary"
+_KEPT = "slab long, kind int, part long, kept binary, keys binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -100,12 +102,17 @@ class Tree:
     n_tokens: int = 0
     n_known: int = 0
 
-    def split(self, slab: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-        """Rows for the parts of the key space that sorted keys fall in."""
+    def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The parts of the key space that sorted keys fall in, and which keys do."""
         part = ((keys >> np.uint64(40)) * np.uint64(self.parts)) >> np.uint64(24)
         edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield kind, int(part[a]), slab, _pack_sorted(keys[a:b]), _pack(counts[a:b].astype(np.uint32))
+            yield int(part[a]), slice(a, b)
+
+    def keyed(self, slab: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        """Rows of an exchange: a slab's keys and their counts, by part."""
+        for part, at in self.split(keys):
+            yield kind, part, slab, _pack_sorted(keys[at]), _pack(counts[at].astype(np.uint32))
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """Probabilities of tokens without context."""
@@ -124,13 +131,14 @@ class Slab:
         self.ends, self.token, self.known = _unpack(row["ends"], np.int64), _unpack(row["tokens"], np.uint32), _unpack_sorted(row["known"])
         self.text = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
         self.trained = ~self.held[self.text]
-        answers = sorted((a for a in answers if a["kind"]), key=lambda a: (a["kind"], a["part"]))
-        of = lambda kind, name: [a[name] for a in answers if a["kind"] == kind]
+        answers = sorted(answers, key=lambda a: (a["kind"], a["part"]))
+        of = lambda kind, name: [a[name] for a in answers if a["kind"] == kind and a[name] is not None]
         self.totals = {kind: np.concatenate([np.zeros(0, np.int64), *(_unpack(b, np.int64) for b in of(kind, "totals"))]) for kind in (TOKEN, PAIR, TRIPLE)}
         self.owned = {}
         for kind in (PAIR, TRIPLE):
             sizes = [int.from_bytes(b[:8], "little") for b in of(kind, "totals")]
             self.owned[kind] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(of(kind, "owned"), sizes, strict=True))])
+        self.kept = {kind: np.concatenate([np.zeros(0, np.uint8), *(_unpack(b, np.uint8) for b in of(kind, "kept"))]) > 0 for kind in (TOKEN, PAIR)} if answers and "kept" in answers[0] else {}
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and training counts."""
@@ -164,45 +172,44 @@ class Slab:
         at = np.searchsorted(self.second, self.third)
         return none, one, self.tree.smoothed(c3[self.triple], c2[self.before], one[at])
 
-    def contexts(self) -> pa.Table:
-        """What this slab adds to the divergence of each of its contexts that occur often enough: of the pairs and triples that it owns."""
+    def candidates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens and which pairs of this slab are contexts that occur often enough."""
+        word, two = np.zeros(len(self.known), bool), np.zeros(len(self.pair_keys), bool)
+        word[self.token[self.second - 1]] = True
+        two[self.before] = True
+        return word & (self.totals[TOKEN] >= self.tree.min_count), two
+
+    def contexts(self) -> Iterator[tuple]:
+        """For each of its candidates what this slab adds to the divergence, of the pairs and triples that it owns; for each pair that it
+        owns also the context a word shorter."""
         none, one, _ = self.predictions()
-        prior, c, c2, c3 = self.tree.prior, self.totals[TOKEN], self.totals[PAIR], self.totals[TRIPLE]
+        prior, c2, c3 = self.tree.prior, self.totals[PAIR], self.totals[TRIPLE]
 
         def gains(counts: np.ndarray, shorter: np.ndarray, owned: np.ndarray) -> np.ndarray:
             left_out = np.log(np.maximum(counts - 1.0, 0.0) + prior * shorter) - np.log(shorter)
             return np.where(owned, counts * left_out, 0.0)
 
         place = self.second[self.first_at]
-        word = self.token[place - 1]
-        g1 = np.bincount(word, gains(c2, none[place], self.owned[PAIR]), minlength=len(self.known))
-        used = np.zeros(len(self.known), bool)
-        used[self.token[self.second - 1]] = True
-        used &= c >= self.tree.min_count
-        two = self.before[self.triple_at]
-        g2 = np.bincount(two, gains(c3, one[np.searchsorted(self.second, self.third[self.triple_at])], self.owned[TRIPLE]), minlength=len(self.pair_keys))
-        twice = np.zeros(len(self.pair_keys), bool)
-        twice[self.before] = True
-        last = self.known[self.token[self.second[self.first_at]]]  # the second word of each pair
-        context = np.concatenate([self.known[used], self.pair_keys[twice]])
-        shorter = pa.array(np.concatenate([np.zeros(used.sum(), np.int64), last[twice].view(np.int64)]), mask=np.arange(len(context)) < used.sum())
-        n, gain = np.concatenate([c[used], c2[twice]]), np.concatenate([g1[used], g2[twice]])
-        return pa.table({"slab": pa.array(np.full(len(context), self.number)), "context": pa.array(context.view(np.int64)), "shorter": shorter, "n": pa.array(n, pa.int64()), "gain": pa.array(gain.astype(np.float64))})
-
-    def scores(self, contexts: np.ndarray) -> list[np.ndarray]:
-        """Per text: tokens, known tokens, base score, score. `contexts` are those of the tree, sorted."""
-
-        def inside(keys: np.ndarray) -> np.ndarray:
-            if not len(contexts):
-                return np.zeros(len(keys), bool)
-            return contexts[np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)] == keys
-
+        g1 = np.bincount(self.token[place - 1], gains(c2, none[place], self.owned[PAIR]), minlength=len(self.known))
+        g2 = np.bincount(self.before[self.triple_at], gains(c3, one[np.searchsorted(self.second, self.third[self.triple_at])], self.owned[TRIPLE]), minlength=len(self.pair_keys))
+        last = np.where(self.owned[PAIR], self.known[self.token[place]], np.uint64(0))
+        words, twos = self.candidates()
+        for kind, keys, n, gain, shorter in ((TOKEN, self.known[words], self.totals[TOKEN][words], g1[words], np.zeros(int(words.sum()), np.uint64)), (PAIR, self.pair_keys[twos], c2[twos], g2[twos], last[twos])):
+            for part, at in self.tree.split(keys):
+                yield kind, part, self.number, _pack_sorted(keys[at]), _pack(n[at].astype(np.int64)), _pack(gain[at].astype(np.float64)), _pack(shorter[at])
+
+    def scores(self) -> list[np.ndarray]:
+        """Per text: tokens, known tokens, base score, score."""
         none, one, two = self.predictions()
-        best = none.copy()
-        after = inside(self.known)[self.token[self.second - 1]]
-        best[self.second[after]] = one[after]
-        after = inside(self.pair_keys)[self.before]
-        best[self.third[after]] = two[after]
+        for kind, candidates in zip((TOKEN, PAIR), self.candidates(), strict=True):
+            candidates[candidates] = self.kept[kind]
+            if kind == TOKEN:
+                after = candidates[self.token[self.second - 1]]
+                best = none.copy()
+                best[self.second[after]] = one[after]
+            else:
+                after = candidates[self.before]
+                best[self.third[after]] = two[after]
         start = np.concatenate([[0], self.ends[:-1]])
         add = lambda x: np.add.reduceat(x, start)  # noqa: E731  each text has its end token at least
         return [np.diff(self.ends, prepend=0), add((self.totals[TOKEN] > 0)[self.token].astype(np.int64)), add(np.log10(none)), add(np.log10(best))]
@@ -220,17 +227,44 @@ def _totals(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     rows = [(s, kind, part, _pack(total[k]), np.packbits(o).tobytes(), None, None) for s, k, o in zip(table.column("slab").to_pylist(), np.split(key, cuts), np.split(owner, cuts), strict=True)]
     rows.append((-1, kind, part, None, None, int((total > 0).sum()), int(total.sum())))
-    names = ["slab", "kind", "part", "totals", "owned", "n_keys", "n_all"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    return _table(rows, _TOTALS)
+
+
+def _kept(table: pa.Table, tree: Tree, divergence: float) -> pa.Table:
+    """All slabs' candidates of one part: which of them are in the tree, back to the slabs in the order of their keys. Rows of slab -1 hold
+    contexts that are in it as suffixes; of pairs in the tree such rows come out."""
+    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
+    rows = table.to_pylist()
+    suffixes = [_unpack_sorted(r["keys"]) for r in rows if r["slab"] == -1]
+    rows = [r for r in rows if r["slab"] >= 0]
+    if not rows:
+        return _table([], _KEPT)
+    keys = [_unpack_sorted(r["keys"]) for r in rows]
+    distinct, first, key = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    n = np.concatenate([_unpack(r["counts"], np.int64) for r in rows])[first]
+    gain = np.bincount(key, np.concatenate([_unpack(r["gains"], np.float64) for r in rows])) - n * np.log(n - 1 + tree.prior)
+    inside = gain >= divergence * n
+    if suffixes:
+        inside |= np.isin(distinct, np.concatenate(suffixes))
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    out = [(r["slab"], kind, part, _pack(i.astype(np.uint8)), None) for r, i in zip(rows, np.split(inside[key], cuts), strict=True)]
+    if kind == PAIR:
+        shorter = np.concatenate([_unpack(r["shorter"], np.uint64) for r in rows])
+        shorter = np.unique(shorter[inside[key] & (shorter > 0)])
+        out += [(-1, TOKEN, p, None, _pack_sorted(shorter[at])) for p, at in tree.split(shorter)]
+    return _table(out, _KEPT)
+
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
-def _key_rows(rows: list[tuple]) -> dict:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return {k: pa.array(c, t) for k, c, t in zip(("kind", "part", "slab", "keys", "counts"), columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)}
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.table([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
-def suffix_tree_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2, min_count: int = 64, divergence: float = 0.02, prior: float = 64.0, slab_bytes: int = 16_000_000, part_tokens: int = 2_000_000) -> DataFrame:
+
+def suffix_tree_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2, min_count: int = 64, divergence: float = 0.02, prior: float = 64.0, slab_bytes: int = 8_000_000, part_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`; scores are log10 probabilities of whole texts.
 
     Rows whose id as text has a crc32 of `remainder` modulo `modulus` are held out: nothing is learnt from them (a null id is not held out). Null and
@@ -253,42 +287,37 @@ def suffix_tree_scores(docs: DataFrame, *, id: str = "doc_id", text: str = "text
             for row in batch.to_pylist():
                 slab = Slab(row, [], tree)
                 slab.pairs()
-                yield pa.RecordBatch.from_pydict(_key_rows([*tree.split(slab.number, TOKEN, *slab.tokens()), *tree.split(slab.number, PAIR, *slab.pair_counts())]))
+                yield from _table([*tree.keyed(slab.number, TOKEN, *slab.tokens()), *tree.keyed(slab.number, PAIR, *slab.pair_counts())], _KEYS).to_batches()
 
-    known = count(slabs.drop("n").mapInArrow(first_keys, _KEYS), "tokens-and-pairs")
-    sums = known.where((F.col("slab") == -1) & (F.col("kind") == TOKEN)).agg(F.sum("n_keys").alias("v"), F.sum("n_all").alias("n")).first()
-    tree = Tree(parts, min_count, prior, sums["n"] or 0, sums["v"] or 0)
+    def told(answers: DataFrame) -> DataFrame:
+        return answers.where("slab >= 0").drop("n_keys", "n_all")
 
     def with_answers(step, answers: DataFrame, schema: str) -> DataFrame:
-        """step(slab, rows of answers) for each slab."""
+        """step(slab) for each slab, which knows the answers."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             (row,) = left.to_pylist()  # a slab is one row, and has answers
             slab = Slab(row, right.to_pylist(), tree)
             slab.pairs()
             slab.triples()
-            return step(slab, right)
+            return step(slab)
 
         return slabs.drop("n").groupBy("slab").cogroup(answers.groupBy("slab")).applyInArrow(run, schema)
 
-    triples = count(with_answers(lambda slab, _: pa.table(_key_rows([*tree.split(slab.number, TRIPLE, *slab.triple_counts())])), known.where("slab >= 0").drop("n_keys", "n_all"), _KEYS), "triples")
-    answers = known.union(triples).where("slab >= 0").drop("n_keys", "n_all")
-    seen = materialize(with_answers(lambda slab, _: slab.contexts(), answers, _CONTEXTS), "contexts")
-    gain = F.sum("gain") - F.max("n") * F.log(F.max("n") - 1 + prior)
-    kept = seen.groupBy("context").agg(F.max("shorter").alias("shorter"), gain.alias("gain"), F.max("n").alias("n")).where(F.col("gain") >= divergence * F.col("n"))
-    kept = materialize(kept, "kept")
-    inside = kept.select("context").union(kept.where("shorter is not null").select("shorter")).distinct()
-    told = seen.join(inside, "context", "left_semi").groupBy("slab").agg(F.collect_list("context").alias("contexts"))  # of one slab: bounded by its tokens
-    answers = answers.withColumn("contexts", F.lit(None).cast("array<long>")).unionByName(told, allowMissingColumns=True)
-
-    def score(slab: Slab, right: pa.Table) -> pa.Table:
-        lists = [x for x in right.column("contexts").to_pylist() if x]
-        contexts = np.sort(np.array(lists[0] if lists else [], np.int64).view(np.uint64))
-        n, seen_before, base, score = slab.scores(contexts)
-        total = pa.array(np.full(len(n), slab.tree.n_tokens))
-        return pa.table([pa.array(slab.ids, id_type), pa.array(slab.held), pa.array(n), pa.array(seen_before), total, pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    known = count(slabs.drop("n").mapInArrow(first_keys, _KEYS), "tokens-and-pairs")
+    sums = known.where((F.col("slab") == -1) & (F.col("kind") == TOKEN)).agg(F.sum("n_keys").alias("v"), F.sum("n_all").alias("n")).first()
+    tree = Tree(parts, min_count, prior, sums["n"] or 0, sums["v"] or 0)
+    triples = count(with_answers(lambda slab: _table(list(tree.keyed(slab.number, TRIPLE, *slab.triple_counts())), _KEYS), told(known), _KEYS), "triples")
+    answers = told(known.union(triples))
+    seen = materialize(with_answers(lambda slab: _table(list(slab.contexts()), _CONTEXTS), answers, _CONTEXTS), "contexts")
+    decide = lambda df: df.groupBy("kind", "part").applyInArrow(lambda table: _kept(table, tree, divergence), _KEPT)
+    pairs = materialize(decide(seen.where(F.col("kind") == PAIR)), "kept-pairs")
+    words = decide(seen.where(F.col("kind") == TOKEN).unionByName(pairs.where("slab = -1").drop("kept"), allowMissingColumns=True))
+    kept = pairs.where("slab >= 0").union(words).drop("keys")
+
+    def score(slab: Slab) -> pa.Table:
+        n, seen_before, base, total = slab.scores()
+        return pa.table([pa.array(slab.ids, id_type), pa.array(slab.held), pa.array(n), pa.array(seen_before), pa.array(np.full(len(n), tree.n_tokens)), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     id_type = to_arrow_type(source.schema["id"].dataType)
-    return with_answers(score, answers, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_answers(score, answers.unionByName(kept, allowMissingColumns=True), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
