@@ -33,6 +33,44 @@ MAGIC = [
 ]
 
 
+class Chunks:
+    """The chunks of RIFF files. Where a chunk begins decides where the next one does, in whatever file it lies, so all walks are paths of one
+    forest; each place is entered once, with a pointer far ahead, and a walk takes a logarithm of its steps."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.steps: dict[int, tuple[int, int, int, int, int]] = {}  # the next place, one further on, steps to the last, "fmt " and "data" chunks from here on
+
+    def _enter(self, start: int) -> None:
+        walked, pos = [], start
+        while pos not in self.steps:
+            name = self.data[pos : pos + 4]
+            if pos + 8 > len(self.data) or not all(0x20 <= c < 0x7F for c in name):
+                self.steps[pos] = pos, pos, 0, 0, 0  # no chunk: the last place
+                break
+            walked.append((pos, name))
+            length = struct.unpack_from("<I", self.data, pos + 4)[0]
+            pos += 8 + length + length % 2
+        for pos_before, name in reversed(walked):
+            _, far, depth, formats, datas = self.steps[pos]
+            beyond = self.steps[far]
+            ahead = beyond[1] if depth - beyond[2] == beyond[2] - self.steps[beyond[1]][2] else pos
+            self.steps[pos_before] = pos, ahead, depth + 1, formats + (name == b"fmt "), datas + (name == b"data")
+            pos = pos_before
+
+    def until(self, start: int, end: int) -> tuple[int, bool]:
+        """Where a walk from `start` is when no further chunk begins before `end` (-1 if something else stands there), and whether it passed a format and data."""
+        self._enter(start)
+        pos = start
+        while pos + 8 <= end:
+            following, ahead, depth, _, _ = self.steps[pos]
+            if not depth:
+                return -1, False
+            pos = ahead if ahead + 8 <= end else following
+        (*_, f1, d1), (*_, f2, d2) = self.steps[start], self.steps[pos]
+        return pos, f1 > f2 and d1 > d2
+
+
 class Places:
     """What validators have found out about some bytes, so that many starts are not followed over the same stretch again and again."""
 
@@ -40,6 +78,8 @@ class Places:
         self.data = data
         self.marks: dict[bytes, list[int]] = {}
         self.dead: set[int] = set()  # positions of GIF blocks that lead to no trailer
+        self.blocks: dict[int, bool] = {}  # positions of FLAC metadata after the first: whether they lead to the last
+        self.chunks = Chunks(data)
         self._archives: dict[int, int] | None = None
 
     def next(self, mark: bytes, at: int) -> int:
@@ -132,14 +172,8 @@ def _riff(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     end = at + 8 + size
     if kind is None or end > len(data):
         return None
-    pos, names = at + 12, set()
-    while pos + 8 <= end:
-        name, length = struct.unpack_from("<4sI", data, pos)
-        if not all(0x20 <= c < 0x7F for c in name):
-            return None
-        names.add(name)
-        pos += 8 + length + length % 2
-    if pos not in (end, end + 1) or kind == "audio/wav" and not {b"fmt ", b"data"} <= names:
+    pos, complete = places.chunks.until(at + 12, end)
+    if pos not in (end, end + 1) or kind == "audio/wav" and not complete:
         return None
     return kind, size + 8
 
@@ -170,15 +204,26 @@ def _gzip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
 
 def _flac(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     """Metadata blocks, the first a stream description of 34 bytes; frames have no total length, so it reaches to the end."""
-    pos, first = at + 4, True
-    while pos + 4 <= len(data):
-        head, size = data[pos], int.from_bytes(data[pos + 1 : pos + 4], "big")
-        if first != (head & 0x7F == 0) or first and size != 34:
-            return None
-        pos, first = pos + 4 + size, False
-        if head & 0x80:
-            return ("audio/flac", len(data) - at) if pos <= len(data) else None
-    return None
+    pos = at + 4
+    if data[pos] & 0x7F if pos + 4 <= len(data) else True:
+        return None
+    if int.from_bytes(data[pos + 1 : pos + 4], "big") != 34:
+        return None
+    passed: list[int] = []
+    good = None  # whether the blocks from a place on lead to the last one; they do not depend on the start
+    while good is None:
+        if pos + 4 > len(data) or passed and data[pos] & 0x7F == 0:
+            good = False
+        elif pos in places.blocks and passed:
+            good = places.blocks[pos]
+        else:
+            after = pos + 4 + int.from_bytes(data[pos + 1 : pos + 4], "big")
+            if data[pos] & 0x80:
+                good = after <= len(data)
+            passed.append(pos)
+            pos = after
+    places.blocks.update(dict.fromkeys(passed[1:], good))
+    return ("audio/flac", len(data) - at) if good else None
 
 
 def _ogg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -186,6 +187,72 @@ def test_false_magic_in_media_takes_linear_time():
     assert time.time() - began < 30
 
 
+def test_walks_over_shared_chunks_take_linear_time():
+    """Each start leads over all later chunks."""
+    import struct
+    import time
+
+    began = time.time()
+    unit = lambda n: b"RIFF" + struct.pack("<I", n // 2) + b"WAVEabcd" + struct.pack("<I", 12)
+    assert media.sniff(unit(1_000_000) * (1_000_000 // 20), "x/y") == ("x/y", [])
+    flac = b"fLaC\0\0\0\x22" + b"." * 34 + b"\1\0\0\x08" + b""
+    assert media.sniff(flac * (1_000_000 // len(flac)), "x/y") == ("x/y", [])
+    assert time.time() - began < 30
+
+
+def plain_riff(data, at):
+    import struct
+
+    if at + 12 > len(data):
+        return None
+    size, form = struct.unpack_from("<I4s", data, at + 4)
+    kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}.get(form)
+    end = at + 8 + size
+    if kind is None or end > len(data):
+        return None
+    pos, names = at + 12, set()
+    while pos + 8 <= end:
+        name, length = struct.unpack_from("<4sI", data, pos)
+        if not all(0x20 <= c < 0x7F for c in name):
+            return None
+        names.add(name)
+        pos += 8 + length + length % 2
+    if pos not in (end, end + 1) or kind == "audio/wav" and not {b"fmt ", b"data"} <= names:
+        return None
+    return kind, size + 8
+
+
+def plain_flac(data, at):
+    pos, first = at + 4, True
+    while pos + 4 <= len(data):
+        head, size = data[pos], int.from_bytes(data[pos + 1 : pos + 4], "big")
+        if first != (head & 0x7F == 0) or first and size != 34:
+            return None
+        pos, first = pos + 4 + size, False
+        if head & 0x80:
+            return ("audio/flac", len(data) - at) if pos <= len(data) else None
+    return None
+
+
+def test_validators_equal_plain_walks_on_nested_and_broken_structures():
+    import struct
+
+    rng, found = random.Random(11), Counter()
+    for _ in range(3000):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            size = rng.choice((0, 1, 2, 4, 8, 12, 20, 37, 60, 100))
+            parts.append(rng.choice((b"RIFF" + struct.pack("<I", size) + rng.choice((b"WAVE", b"WEBP", b"AVI ", b"none")), rng.choice((b"fmt ", b"data", b"abcd", b"\1bad")) + struct.pack("<I", size // 3), b"." * rng.randint(0, 3), b"fLaC\0\0\0\x22" + b"." * 34, bytes([rng.choice((0, 1, 4, 0x81)), 0, 0, size // 2]))))
+        data = b"".join(parts)
+        places = media.Places(data)
+        for name, plain, walk in ((b"RIFF", plain_riff, media._riff), (b"fLaC", plain_flac, media._flac)):
+            for m in re.finditer(name, data):
+                want = plain(data, m.start())
+                assert walk(data, m.start(), places) == want
+                found[name, want is not None] += 1
+    assert min(found.values()) > 100 and len(found) == 4
+
+
 def test_personal_data_in_long_texts_takes_linear_time():
     import time
 
