@@ -30,6 +30,34 @@ def clusters(docs: DataFrame, links: DataFrame) -> DataFrame:
     return every.select("doc_id", F.coalesce("cluster", "doc_id").alias("cluster"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
 
 
+def complete_clusters(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(cluster, complete): whether each two documents of a cluster share a phrase. edges (doc_id, phrase), distinct, with few phrases a document
+    (at most 20); found (doc_id, cluster, size). Clusters without any edge are left out.
+
+    Pairs are never listed. The documents that share a phrase with one are those of the union of its phrases' documents, whose number follows from
+    those of the documents that hold each subset of its phrases, added and taken off by turns (inclusion and exclusion). So a document is as
+    many rows as its phrases have subsets, whatever the cluster's size. Phrases that all documents of a cluster hold, or only one, decide before
+    that, as does a document whose phrases have too few documents: only what these leave open is looked at by subsets.
+    """
+    held = edges.join(found, "doc_id").select("cluster", "size", "doc_id", "phrase")
+    per = held.groupBy("cluster", "phrase").agg(F.count(F.lit(1)).alias("k"))
+    counted = materialize(held.join(per, ["cluster", "phrase"]), "cluster-phrases")
+    reach = counted.groupBy("cluster", "doc_id").agg(F.max("size").alias("size"), F.max("k").alias("most"), F.sum(F.col("k") - 1).alias("reach"))
+    whole = F.max("most") == F.max("size")
+    known = reach.groupBy("cluster").agg(F.when(whole, True).when((F.min("reach") < F.max("size") - 1) | (F.count(F.lit(1)) < F.max("size")), False).alias("complete"))
+    known = materialize(known, "known-clusters")
+    open_rows = counted.where("k > 1").join(known.where("complete is null").select("cluster"), "cluster")
+    sets = open_rows.groupBy("cluster", "size", "doc_id").agg(F.sort_array(F.collect_list("phrase")).alias("p"))  # a document's own phrases
+    number = F.explode(F.expr("sequence(1, shiftleft(1, size(p)) - 1)"))
+    subset = F.expr("filter(p, (x, i) -> (shiftright(m, i) & 1) = 1)")
+    subsets = sets.select("cluster", "size", "doc_id", "p", number.alias("m")).select("cluster", "size", "doc_id", subset.alias("s"))
+    subsets = materialize(subsets.select("cluster", "size", "doc_id", F.unhex(F.md5(F.array_join("s", "\n").cast("binary"))).alias("h"), (F.size("s") % 2 * 2 - 1).alias("sign")), "phrase-subsets")
+    holding = subsets.groupBy("cluster", "h").agg(F.count(F.lit(1)).alias("n"))
+    near = subsets.join(holding, ["cluster", "h"]).groupBy("cluster", "size", "doc_id").agg(F.sum(F.col("sign") * F.col("n")).alias("near"))  # itself included
+    decided = near.groupBy("cluster").agg((F.min("near") == F.max("size")).alias("complete"))
+    return known.where("complete is not null").union(decided)
+
+
 def labels(found: DataFrame, min_docs: int) -> DataFrame:
     """The cluster of each document, null where it has fewer than `min_docs`."""
     return found.select("doc_id", F.when(F.col("size") >= min_docs, F.col("cluster")).alias("label"))

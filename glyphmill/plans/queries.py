@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import coding, text
-from glyphmill.operators import cluster, graph, lsh, metrics, templates, tfidf, timeseries
+from glyphmill.operators import cluster, communities, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
 from glyphmill.operators.storage import fresh_path, materialize
 from glyphmill.sources import readers
@@ -417,16 +417,30 @@ def modularity_q(spark: S, d: str) -> T:
     return graph.modularity(_customer_graph(spark, d), parts)
 
 
-def complete_components(spark: S, d: str) -> T:
-    """Per coarse cluster of at least three: documents, those of its most common phrase, and whether that one phrase links them all.
+def greedy_communities(spark: S, d: str) -> T:
+    """Communities of suppliers that orders join, by greedy gain of modularity."""
+    return communities.greedy_communities(materialize(_customer_graph(spark, d), "supplier-links"))
+
+
+def greedy_communities_check(spark: S, d: str) -> T:
+    """What must hold of them: every node has a community, no two that are joined would raise the modularity as one, and it is above that of single nodes."""
+    edges = materialize(_customer_graph(spark, d), "supplier-links")
+    history: list[float] = []
+    found = materialize(communities.greedy_communities(edges, history=history), "found-communities")
+    row = communities.open_merges(edges, found)
+    rising = all(a < b for a, b in zip(history, history[1:], strict=False))
+    return row.select("nodes", "open_pairs", (F.lit(rising) & (F.abs(F.col("modularity") - history[-1]) < 1e-9)).alias("modularity_rises"))
 
-    A cluster whose pairs are all linked, but by different phrases, is not `complete` here."""
+
+def complete_components(spark: S, d: str) -> T:
+    """Per coarse cluster of at least three: documents, those of its most common phrase, and whether each two documents share a phrase."""
     top = materialize(coarse_top_phrases(spark, d), "top-phrases")
-    edges = cluster.shared_edges(top)
-    found = cluster.clusters(table(spark, d, "documents"), cluster.document_links(edges)).where("size >= 3")
+    edges = materialize(cluster.shared_edges(top), "shared-edges")
+    found = materialize(cluster.clusters(table(spark, d, "documents"), cluster.document_links(edges)).where("size >= 3"), "coarse")
     per = edges.join(found, "doc_id").groupBy("cluster", "phrase").agg(F.count(F.lit(1)).alias("k"))
     whole = per.groupBy("cluster").agg(F.max("k").alias("k")).join(found.select("cluster", "size").distinct(), "cluster")
-    return whole.select("cluster", "size", F.col("k").alias("largest_phrase"), (F.col("k") == F.col("size")).alias("complete"))
+    done = cluster.complete_clusters(edges, found)
+    return whole.join(done, "cluster", "left").select("cluster", "size", F.col("k").alias("largest_phrase"), F.coalesce("complete", F.lit(False)).alias("complete"))
 
 
 def phones_per_component(spark: S, d: str) -> T:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -258,6 +259,39 @@ def test_copies_are_aligned_once_and_cost_as_often_as_they_stand(spark):
     assert alone[1] == 40 * (templates.log_star(10) + 10 * 4 + 1) and alone[2] < alone[1]
 
 
+def test_consensus_is_the_best_of_all_supports():
+    """Against each support one by one, and the cost of mining against its description written out."""
+    rng = random.Random(8)
+    for _ in range(12):
+        frame = [f"w{rng.randint(0, 30)}" for _ in range(rng.randint(4, 12))]
+        docs = {d: np.array([w if rng.random() < 0.8 else f"x{rng.randint(0, 3)}" for w in frame if rng.random() < 0.9] or ["w"], dtype=object) for d in range(7)}
+        copies = {d: rng.randint(1, 4) for d in docs}
+        cluster = templates.Cluster(docs, copies, 6)
+        members, graph = cluster.group(sorted(docs))
+        every = [templates.consensus(graph, s) for s in range(cluster.count(members))]
+        least = min((cluster.total(members, c) for c in every if c.words), default=None)
+        best = cluster.best_consensus(members, graph)
+        assert (cluster.total(members, best) if best.words else None) == least
+        found, initial, final = cluster.mine()
+        assert initial == sum(n * (cluster.alone(d) + 1) for d, n in copies.items()) and final <= initial and (final < initial) == bool(found)
+
+
+def test_complete_clusters_against_all_pairs(spark):
+    rng = random.Random(6)
+    held = {(0, d, p) for d, ps in enumerate(("ab", "bc", "ca")) for p in ps}  # linked by three phrases, none of them common to all
+    held |= {(1, 10 + d, p) for d, ps in enumerate(("x", "x", "xy", "y")) for p in ps} | {(2, 20 + d, "z") for d in range(5)}
+    held |= {(c, 100 * c + d, p) for c in range(3, 40) for d in range(rng.choice((3, 4, 6))) for p in rng.sample("abcdef", rng.choice((2, 3, 4)))}
+    plane = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5)]  # seven points, any two on a line
+    held |= {(50, 5000 + d, f"l{k}") for k, line in enumerate(plane) for d in line}
+    clusters = {c: {d for x, d, _ in held if x == c} for c, _, _ in held}
+    of = {d: {p for _, x, p in held if x == d} for _, d, _ in held}
+    want = {c: all(of[a] & of[b] for a in ds for b in ds) for c, ds in clusters.items()}
+    edges = spark.createDataFrame([(d, p) for _, d, p in held], "doc_id long, phrase string")
+    found = spark.createDataFrame([(d, c, len(ds)) for c, ds in clusters.items() for d in ds], "doc_id long, cluster long, size long")
+    assert {tuple(r) for r in cluster.complete_clusters(edges, found).collect()} == set(want.items())
+    assert want[0] and want[50] and want[2] and not want[1] and 5 < sum(want.values()) < len(want) - 5
+
+
 def test_templates_of_near_copies(spark):
     frame = "the quick {} fox jumps over the lazy dog and runs through the dark green forest to its den".split()
     docs = [(i, " ".join(w.format(c) for w in frame)) for i, c in enumerate(["brown", "red", "grey", "old", "young", "tired"])] + [(9, "nothing like the others at all here my friend"), (10, "")]
