@@ -38,23 +38,33 @@ def gains(links: DataFrame, strength: DataFrame, total: float) -> DataFrame:
     return _both(links).join(at("u"), "u").join(at("v"), "v").withColumn("gain", gain)
 
 
-def _merges(open_links: DataFrame, total: float, number: int) -> DataFrame:
-    """(u, v): u joins v. Each community names the partner with the largest gain, equal ones by a draw. Of two that name each other the stronger
-    (then the one with the smaller id) takes in, the other joins; the rest take in or join by a coin, and who joins does so where its partner takes in.
+def _merges(open_links: DataFrame, links: DataFrame, total: float, number: int) -> DataFrame:
+    """(u, v): u joins v. Each community names the partner with the largest gain, equal ones by a draw. Of two that name each other the one that
+    more have named (then the stronger, then the one with the smaller id) takes in, the other joins; the rest take in or join by a coin, and who joins does
+    so where its partner takes in. So the best pair of all is one after the round, and a star is one round's work.
 
-    So a partner may take in many at once: in the order of their gains, each as long as it still gains with all before it counted in. Links among
-    those who join only add to that, so Q rises by the sum of these gains at least. The best pair of all names each other: no round is empty."""
+    Of those that would join one partner, in the order of their gains, as many do as raise Q most together: each adds its own gain, its links to
+    those before it, and what their strengths take off. Both sums over those before are running sums, dealt by ranges."""
     named = open_links.groupBy("u").agg(F.max(F.struct("gain", _draw(number, "v").alias("h"), F.col("v"), F.col("du").alias("d"), F.col("dv"))).alias("best")).select("u", "best.*").drop("h")
     named = materialize(named, "partners")
+    votes = named.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda x: votes.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"))
     back = named.select(F.col("u").alias("v"), F.col("v").alias("u"), F.lit(True).alias("mutual"))
-    stronger = (F.col("d") > F.col("dv")) | (F.col("d") == F.col("dv")) & (F.col("u") < F.col("v"))
-    roles = named.join(back, ["u", "v"], "left").withColumn("takes", F.when(F.col("mutual"), stronger).otherwise(_draw(number, "u") % 2 == 0))
-    roles = materialize(roles, "roles")
+    first = F.struct(F.coalesce("nu", F.lit(0)), F.col("d"), -F.col("u")) > F.struct(F.coalesce("nv", F.lit(0)), F.col("dv"), -F.col("v"))
+    roles = named.join(of("u"), "u", "left").join(of("v"), "v", "left").join(back, ["u", "v"], "left")
+    roles = materialize(roles.select("u", "v", "gain", "d", F.when(F.col("mutual"), first).otherwise(_draw(number, "u") % 2 == 0).alias("takes")), "roles")
     open_to = roles.where("takes").select(F.col("u").alias("v"))
-    joining = roles.where("not takes").join(open_to, "v").select("u", "v", "gain", "d")
-    before = running_sum(joining, ["v"], [F.desc("gain"), F.col("u")], "d", "before")
-    kept = materialize(before.where(F.col("gain") - (F.col("d") / total) * (F.col("before") / total) > 0).select("u", "v"), "merges")
-    discard(named, roles)
+    order = [F.desc("gain"), F.col("u")]
+    joining = running_sum(roles.where("not takes").join(open_to, "v").select("u", "v", "gain", "d"), ["v"], order, "d", "before")
+    joining = materialize(joining, "joining")
+    end = lambda x: joining.select(F.col("u").alias(x), F.col("v").alias(f"v{x}"), F.struct(-F.col("gain"), F.col("u")).alias(f"at{x}"))
+    among = links.join(end("a"), "a").join(end("b"), "b").where("va = vb").groupBy(F.greatest("ata", "atb")["u"].alias("u")).agg(F.sum("w").alias("inner"))
+    adds = F.col("gain") + F.coalesce("inner", F.lit(0.0)) / total - (F.col("d") / total) * (F.col("before") / total)
+    summed = materialize(running_sum(joining.join(among, "u", "left").select("u", "v", "gain", adds.alias("adds")), ["v"], order, "adds", "earlier"), "joining-sums")
+    top = F.max(F.struct(F.round((F.col("earlier") + F.col("adds")) * 1e12), -F.col("gain"), F.col("u"))).alias("top")
+    last = summed.groupBy("v").agg(top).select("v", F.struct(F.col("top.col2"), F.col("top.u")).alias("last"))
+    kept = materialize(summed.join(last, "v").where(F.struct(-F.col("gain"), F.col("u")) <= F.col("last")).select("u", "v"), "merges")
+    discard(named, roles, joining, summed)
     return kept
 
 
@@ -85,7 +95,7 @@ def greedy_communities(edges: DataFrame, *, weight: str | None = None, history:
         if open_links.isEmpty():
             discard(open_links)
             break
-        merges = _merges(open_links, total, number)
+        merges = _merges(open_links, links, total, number)
         old, number = (links, strength, places, open_links, merges), number + 1
         to = lambda df, x, m=merges: df.join(m.select(F.col("u").alias(x), F.col("v").alias("__to")), x, "left").withColumn(x, F.coalesce("__to", x)).drop("__to")
         moved = to(to(links, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
