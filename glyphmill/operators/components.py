@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         a, b = p.toDF("a", "pa"), p.toDF("b", "pb")
         e = materialize(e.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
         discard(before, last, p)
+    else:
+        raise RuntimeError("components: rounds are used up with edges left")
     if m is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     discard(e)

@@ -226,6 +226,7 @@ SQL = {
         p AS (SELECT cluster, phrase, count(*) AS k, any_value(size) AS size FROM m GROUP BY cluster, phrase),
         l AS (SELECT cluster, count(*) AS linked FROM (SELECT DISTINCT a.cluster, a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.cluster = b.cluster AND a.phrase = b.phrase AND a.doc_id < b.doc_id) GROUP BY cluster)
         SELECT cluster, any_value(size) AS size, max(k) AS largest_phrase, any_value(linked) = any_value(size) * (any_value(size) - 1) / 2 AS complete FROM p JOIN l USING (cluster) GROUP BY cluster""",
+    "sink_reused_stage": f"SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, '{WS}')))::BIGINT AS words FROM documents GROUP BY source",
     "greedy_communities_check": f"WITH {NEXT} SELECT count(*) AS nodes, 0::BIGINT AS open_pairs, true AS modularity_rises FROM (SELECT src AS id FROM cg UNION SELECT dst FROM cg)",
     "phones_per_component": rf"{COARSE} SELECT cluster, count(*) FILTER (regexp_matches(text, '\+[0-9]')) AS phones, count(*) FILTER (regexp_matches(text, '\+[0-9]')) > 100 AS suspicious FROM cl JOIN documents USING (doc_id) GROUP BY cluster HAVING phones > 0",
     "gaussian_entropy": f"WITH {POINTS}, a AS (SELECT label, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, count(*) AS n FROM pt GROUP BY label) SELECT label, n, round(abs(0.5 * ln(pow(2 * pi() * exp(1), 2) * (vx * vy - c * c))), 6) AS entropy FROM a",

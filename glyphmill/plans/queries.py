@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import coding, text
 from glyphmill.operators import cluster, communities, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
+from glyphmill.operators.reuse import reused
 from glyphmill.operators.storage import fresh_path, materialize
 from glyphmill.sources import readers
 from glyphmill.streaming import live
@@ -724,3 +725,11 @@ def lsh_chain_clusters_v2(spark: S, d: str) -> T:
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.desc("phrase")))
     top = sized.withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("k") / 5)).select("doc_id", "rank", "phrase")
     return lsh.chain_clusters(top, buckets=max(1, n // 100), capacity=10, skip_marked=True)
+
+
+def sink_reused_stage(spark: S, d: str) -> T:
+    """Words and documents by source, published by the first call and read by the second."""
+    words = table(spark, d, "documents").select("source", F.size(text.words_nonspace(F.col("text"))).cast("long").alias("n"))
+    stage = words.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"))
+    reused(stage, "words-by-source", inputs=[f"{d}/documents.parquet"])
+    return reused(stage, "words-by-source", inputs=[f"{d}/documents.parquet"])
