@@ -62,7 +62,7 @@ def test_stages_take_empty_tables_nulls_and_clashing_names(spark):
 
 def test_registered_once_each():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {"op3_line_dedup", "op4_mixing", "op6_vector_join", "op7_jaccard_join"} <= set(__spark_entry__.oracle_sql())
+    assert {"op3_line_dedup", "op4_mixing", "op6_vector_join", "op7_jaccard_join", "op11_spelling", "op12_resampling"} <= set(__spark_entry__.oracle_sql())
     assert line_dedup.WINDOW == 3
