@@ -56,10 +56,14 @@ def pruned_vocabulary(df: DataFrame, n_docs: Column, min_df: int = 2, max_share:
     return df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * n_docs))
 
 
+def weighed(counted: DataFrame, n_docs: int, sublinear: bool = True) -> DataFrame:
+    """Rows with tf and df, with the weight (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), or tf itself in place of its logarithm."""
+    return counted.withColumn("weight", (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((F.lit(1) + n_docs) / (1 + F.col("df"))) + 1))
+
+
 def static_weights(tf: DataFrame, df: DataFrame, n_docs: int, sublinear: bool = True) -> DataFrame:
-    """(1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), or tf itself in place of the logarithm."""
-    weight = (1 + F.log("tf") if sublinear else F.col("tf")) * (F.log((F.lit(1) + n_docs) / (1 + F.col("df"))) + 1)
-    return tf.join(df, "phrase").withColumn("weight", weight)
+    """tf with df and the weight of each phrase."""
+    return weighed(tf.join(df, "phrase"), n_docs, sublinear)
 
 
 def top_phrases(weighted: DataFrame, k: int, score: str = "weight", *, digits: int = 9) -> DataFrame:

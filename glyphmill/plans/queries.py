@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import coding, text
-from glyphmill.operators import cluster, communities, graph, lsh, metrics, templates, tfidf, timeseries
+from glyphmill.operators import cluster, communities, distinctive, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
 from glyphmill.operators.reuse import reused
 from glyphmill.operators.storage import fresh_path, materialize
@@ -113,9 +113,10 @@ def l2_norms(spark: S, d: str) -> T:
 
 
 def coarse_top_phrases(spark: S, d: str) -> T:
-    tf, n = _static(spark, d)
-    tf = materialize(tf, "tf")  # read twice: for df, and to be weighted
-    return tfidf.top_phrases(tfidf.static_weights(tf, tfidf.document_frequency(tf), n), 10).select("doc_id", "rank", "phrase", "weight")
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    found = distinctive.candidates(docs, text.clean_page("text"), n, k=10, low=3, high=5)
+    return tfidf.top_phrases(tfidf.weighed(found, n), 10).select("doc_id", "rank", "phrase", "weight")
 
 
 def _coarse(spark: S, d: str) -> T:
