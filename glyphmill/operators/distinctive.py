@@ -175,7 +175,11 @@ class Slab:
         kept = _upto(doc, score, k, CLOSE)
         doc, df, place, n_of, tf, score, spot = (x[kept] for x in (doc, df, place, n_of, tf, score, spot))
         # of phrases of one document, tf and df the k last ones by first word are enough, and what begins with the last of these words
-        same = np.unique(np.stack([doc, tf, df]), axis=1, return_inverse=True)[1].ravel() if len(doc) else doc
+        order = np.lexsort((df, tf, doc))
+        new = np.zeros(len(order), np.int64)
+        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (doc, tf, df)])
+        same = np.empty(len(order), np.int64)
+        same[order] = np.cumsum(new)
         kept = _upto(same, spot, k, 0)
         text = self.data.tobytes()
         phrases = [b" ".join(text[self.start[j] : self.end[j]] for j in range(p, p + n)) for p, n in zip(place[kept].tolist(), n_of[kept].tolist(), strict=True)]
