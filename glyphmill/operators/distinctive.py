@@ -143,9 +143,8 @@ class Slab:
 
     def asked(self, bits: int, totals: np.ndarray) -> dict[int, np.ndarray]:
         """Which phrases of each length are to be counted by their hashes: those that hold no shortest phrase from a cell of one document."""
-        cells = self.cells(bits)
         shared = np.zeros(len(self.word) + self.high, bool)
-        shared[self.place[self.low]] = totals[np.searchsorted(np.unique(cells), cells)] > 1
+        shared[self.place[self.low]] = totals[np.unique(self.cells(bits), return_inverse=True)[1]] > 1
         return {n: np.logical_and.reduce([shared[at + j] for j in range(n - self.low + 1)]) for n, at in self.place.items()}
 
     def questions(self, asked: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,47 +161,45 @@ class Slab:
         if not len(key):
             return [], [], [], []
         df = np.ones(len(key), np.int64)
-        df[open_] = totals[np.searchsorted(np.unique(key[open_]), key[open_])]
+        df[open_] = totals[np.unique(key[open_], return_inverse=True)[1]]
         doc = self.doc[place]
-        order = np.lexsort((key, doc))
+        both = _mixed(key + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(both)
         new = np.ones(len(key), bool)
-        new[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        new[1:] = np.diff(both[order]) != 0
         tf = np.diff(np.append(np.flatnonzero(new), len(key)))
         one = order[new]
         doc, df, place, n_of = doc[one], df[one], place[one], n_of[one]
-        score = (1 + np.log(tf)) * (np.log((1 + n_docs) / (1 + df)) + 1)
-        spot = self._word_places()[place]
-        kept = _upto(doc, score, k, CLOSE)
-        doc, df, place, n_of, tf, score, spot = (x[kept] for x in (doc, df, place, n_of, tf, score, spot))
-        # of phrases of one document, tf and df the k last ones by first word are enough, and what begins with the last of these words
-        order = np.lexsort((df, tf, doc))
-        new = np.zeros(len(order), np.int64)
-        new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (doc, tf, df)])
-        same = np.empty(len(order), np.int64)
-        same[order] = np.cumsum(new)
-        kept = _upto(same, spot, k, 0)
+        few, pair = np.unique(tf << 40 | df, return_inverse=True)  # few different ones, whose scores are put in order
+        few_tf, few_df = few >> 40, few & ((1 << 40) - 1)
+        score = (1 + np.log(few_tf)) * (np.log((1 + n_docs) / (1 + few_df)) + 1)
+        level = np.searchsorted(np.sort(score), score + CLOSE, side="right")
+        lowest = np.searchsorted(np.sort(score), score - CLOSE)
+        kept = _upto(doc, level[pair], k, lowest[pair])
+        doc, pair, place, n_of = doc[kept], pair[kept], place[kept], n_of[kept]
+        # of phrases of one document, tf and df the k last ones by first word are enough, and what may begin with the last of these words
+        first = self._word_heads()[place]
+        kept = _upto(doc * len(few) + pair, first, k, first)
+        tf, df = few_tf[pair], few_df[pair]
         text = self.data.tobytes()
         phrases = [b" ".join(text[self.start[j] : self.end[j]] for j in range(p, p + n)) for p, n in zip(place[kept].tolist(), n_of[kept].tolist(), strict=True)]
         return [self.ids[d] for d in doc[kept].tolist()], phrases, tf[kept].tolist(), df[kept].tolist()
 
-    def _word_places(self) -> np.ndarray:
-        """The place of each word in the order of the slab's words, a space after each as in a phrase."""
-        _, first, which = np.unique(self.word, return_index=True, return_inverse=True)
-        text = self.data.tobytes()
-        names = [text[a:b] + b" " for a, b in zip(self.start[first].tolist(), self.end[first].tolist(), strict=True)]
-        place = np.empty(len(names), np.int64)
-        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        return place[which]
-
-
-def _upto(group: np.ndarray, value: np.ndarray, k: int, slack: float) -> np.ndarray:
-    """Where a value is at most `slack` below the k-th largest of its group."""
-    order = np.lexsort((-value, group))
-    first = np.ones(len(group), bool)
-    first[1:] = group[order][1:] != group[order][:-1]
-    at = np.flatnonzero(first)
-    sizes = np.diff(np.append(at, len(group)))
-    cut = value[order][at + np.minimum(sizes, k) - 1] - slack
+    def _word_heads(self) -> np.ndarray:
+        """The first eight bytes of each word and a space, as a number: in the order of phrases that begin with the word, but for ties."""
+        padded, out = np.append(self.data, np.zeros(8, np.uint8)), np.zeros(len(self.start), np.uint64)
+        for j in range(8):
+            at = self.start + j
+            out = out << np.uint64(8) | np.where(at < self.end, padded[at], np.where(at == self.end, 32, 0)).astype(np.uint64)
+        return out
+
+
+def _upto(group: np.ndarray, value: np.ndarray, k: int, least: np.ndarray) -> np.ndarray:
+    """Places of what reaches, by its value, the `least` of the k-th largest value of its group (of the smallest one, if there are fewer)."""
+    order = np.lexsort((value, group))
+    ends = np.append(np.flatnonzero(np.diff(group[order])), len(order) - 1) + 1
+    sizes = np.diff(ends, prepend=0)
+    cut = least[order][ends - np.minimum(sizes, k)]
     return order[value[order] >= np.repeat(cut, sizes)]
 
 
