@@ -130,6 +130,18 @@ def _log_star(x: str) -> str:
 NEXT = "cg AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey)"
 SUPPLY = "sp AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst FROM lineitem)"
 POINTS = "pt AS (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+def _chains(of: str, capacity: int) -> str:
+    """ch: doc_id, predecessor, shared, kind of 16 functions; between two arrivals of a phrase a bucket sees fewer than `capacity` other phrases."""
+    return f"""{TOP},
+dp AS (SELECT DISTINCT doc_id, phrase FROM top),
+ba AS (SELECT *, row_number() OVER (PARTITION BY fn, bucket ORDER BY doc_id, phrase) AS pos FROM (SELECT doc_id, phrase, fn, ('0x' || substr(md5(fn || ':' || phrase), 1, 8))::BIGINT % {of} AS bucket FROM dp, range(16) f(fn))),
+bp AS MATERIALIZED (SELECT *, lag(pos) OVER v AS pp, lag(doc_id) OVER v AS met FROM ba WINDOW v AS (PARTITION BY fn, bucket, phrase ORDER BY pos)),
+bo AS (SELECT c.fn, c.bucket, c.pos FROM bp c JOIN bp r ON r.fn = c.fn AND r.bucket = c.bucket AND r.pos > c.pp AND r.pos < c.pos WHERE coalesce(r.pp, 0) < c.pp GROUP BY ALL HAVING count(*) >= {capacity}),
+bm AS (SELECT doc_id, met, phrase, count(*) AS n FROM bp ANTI JOIN bo USING (fn, bucket, pos) WHERE pp IS NOT NULL GROUP BY ALL),
+bs AS (SELECT doc_id, met AS predecessor, count(*) FILTER (2 * n >= 16) AS shared, count(*) FILTER (2 * n > 16) AS above FROM bm GROUP BY ALL),
+ch AS (SELECT doc_id, predecessor, shared, CASE WHEN shared = k THEN 'duplicate' ELSE 'chain' END AS kind FROM bs JOIN (SELECT doc_id, count(*) AS k FROM dp GROUP BY doc_id) USING (doc_id) WHERE shared = k OR above > 0)"""
+
+
 DAYS = "dy AS (SELECT strftime(ts, '%Y %m %d') AS bucket, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL)"
 LINES = f"ln AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text NULLS FIRST) - 1 AS doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g'), '{WS}') AS w FROM conversations)"
 CITY = "pc AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), sz AS (SELECT n_name, 1000 * (n_nationkey + 1) AS size FROM nation WHERE 1000 * (n_nationkey + 1) < 20000)"
@@ -226,6 +238,10 @@ SQL = {
         p AS (SELECT cluster, phrase, count(*) AS k, any_value(size) AS size FROM m GROUP BY cluster, phrase),
         l AS (SELECT cluster, count(*) AS linked FROM (SELECT DISTINCT a.cluster, a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.cluster = b.cluster AND a.phrase = b.phrase AND a.doc_id < b.doc_id) GROUP BY cluster)
         SELECT cluster, any_value(size) AS size, max(k) AS largest_phrase, any_value(linked) = any_value(size) * (any_value(size) - 1) / 2 AS complete FROM p JOIN l USING (cluster) GROUP BY cluster""",
+    "bucket_chains": f"WITH {_chains('400', 100)} SELECT * FROM ch",
+    "bucket_chains_small": f"WITH {_chains('(SELECT greatest(1, count(*) // 100) FROM documents)', 10)} SELECT * FROM ch",
+    "bucket_chain_components": f"""WITH RECURSIVE {_chains('400', 100)}, sy AS (SELECT doc_id AS a, predecessor AS b FROM ch UNION SELECT predecessor, doc_id FROM ch),
+        rc(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT rc.x, sy.b FROM rc JOIN sy ON rc.y = sy.a) SELECT x AS doc_id, min(y) AS component FROM rc GROUP BY x""",
     "sink_reused_stage": f"SELECT source, count(*) AS docs, sum(len(regexp_extract_all(text, '{WS}')))::BIGINT AS words FROM documents GROUP BY source",
     "greedy_communities_check": f"WITH {NEXT} SELECT count(*) AS nodes, 0::BIGINT AS open_pairs, true AS modularity_rises FROM (SELECT src AS id FROM cg UNION SELECT dst FROM cg)",
     "phones_per_component": rf"{COARSE} SELECT cluster, count(*) FILTER (regexp_matches(text, '\+[0-9]')) AS phones, count(*) FILTER (regexp_matches(text, '\+[0-9]')) > 100 AS suspicious FROM cl JOIN documents USING (doc_id) GROUP BY cluster HAVING phones > 0",

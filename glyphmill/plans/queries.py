@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import coding, text
-from glyphmill.operators import cluster, communities, distinctive, graph, lsh, metrics, templates, tfidf, timeseries
+from glyphmill.operators import buckets, cluster, communities, distinctive, graph, lsh, metrics, templates, tfidf, timeseries
 from glyphmill.operators.components import components
 from glyphmill.operators.reuse import reused
 from glyphmill.operators.storage import fresh_path, materialize
@@ -555,6 +555,25 @@ def lsh_parameter_sweep(spark: S, d: str) -> T:
     return lsh.parameter_sweep(coarse_top_phrases(spark, d), [(16, 256), (16, 4096), (64, 256), (64, 4096)])
 
 
+def _bucket_chains(spark: S, d: str, of: int, capacity: int) -> T:
+    top = materialize(coarse_top_phrases(spark, d).select("doc_id", "phrase"), "top-phrases")
+    return buckets.chains(buckets.meetings(buckets.arrivals(top, 16, of), capacity), 16)
+
+
+def bucket_chains(spark: S, d: str) -> T:
+    """Documents and the predecessors that they met in 400 buckets of 100 phrases for each function."""
+    return _bucket_chains(spark, d, 400, 100)
+
+
+def bucket_chains_small(spark: S, d: str) -> T:
+    """The second variant: one bucket of 10 phrases for each function and 100 documents."""
+    return _bucket_chains(spark, d, max(1, table(spark, d, "documents").count() // 100), 10)
+
+
+def bucket_chain_components(spark: S, d: str) -> T:
+    return buckets.chain_labels(bucket_chains(spark, d), table(spark, d, "documents"))
+
+
 # --- sources and sinks: written to the shared folder, and what reading gives
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from glyphmill.operators import buckets
 from glyphmill.operators.cluster import merge_batch
+from glyphmill.operators.storage import materialize
 
 
 def arriving_frequency(tf: DataFrame) -> DataFrame:
@@ -40,6 +43,40 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class Bucket(StatefulProcessor):
+    """A bucket of operators.buckets as state: the phrases that it holds and their last documents, oldest first, at most `capacity`."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", "phrases array<long>, docs array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+        new = pd.concat(list(rows)).sort_values(["doc_id", "k"])
+        out = []
+        for doc, p, of in zip(new["doc_id"].tolist(), new["p"].tolist(), new["phrases"].tolist(), strict=True):
+            met = buckets.bring(held, p, doc, self.capacity)
+            out.append((doc, p, met, of, len(held)))
+        self.state.update((list(held), list(held.values())))
+        frame = pd.DataFrame(out, columns=["doc_id", "p", "met", "phrases", "held"])
+        yield frame.astype({"met": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def bucket_meetings(arrivals: DataFrame, capacity: int) -> DataFrame:
+    """A stream of buckets.arrivals as a stream of what buckets.meetings gives, in the order of micro-batches and, within one, of doc_id.
+
+    The state is one bounded list for each bucket (it needs the RocksDB state store). The running query reports the gauges `fullest`, `arrivals` and
+    `met` under the name `buckets` with each micro-batch, in the pass that it makes anyway; ProgressLog hands them on."""
+    out = arrivals.groupBy("fn", "bucket").transformWithStateInPandas(Bucket(capacity), buckets.MET + ", held int", "Append", "None")
+    gauged = out.observe("buckets", F.max("held").alias("fullest"), F.count(F.lit(1)).alias("arrivals"), F.count("met").alias("met"))
+    return gauged.where("met is not null").select("doc_id", "p", "met", "phrases")
+
+
 class GrowingClusters:
     """Labels that micro-batches of (doc_id, phrase) edges extend; `changed` has the labels that the last batch touched."""
 
@@ -55,15 +92,30 @@ class GrowingClusters:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class GrowingChains(GrowingClusters):
+    """Clusters that micro-batches of bucket_meetings extend: a document and its predecessor meet at the predecessor's id.
+
+    A micro-batch is written once before it is used, as each use of a stateful one repeats its pass and its gauges."""
+
+    def __init__(self, functions: int, labels: DataFrame, edges: DataFrame, on_change: Callable[[DataFrame, int], None] | None = None):
+        super().__init__(labels, edges, on_change)
+        self.functions = functions
+
+    def add(self, batch: DataFrame, number: int = 0) -> None:
+        links = materialize(buckets.chains(batch, self.functions), "links")
+        at = F.col("predecessor").cast("string").alias("phrase")
+        super().add(links.select("doc_id", at).union(links.select("predecessor", at)), number)
+
+
 class ProgressLog(StreamingQueryListener):
-    """Hands `write` a line of JSON for each micro-batch of a session's streams: name, batch, rows, and milliseconds by phase."""
+    """Hands `write` a line of JSON for each micro-batch of a session's streams: name, batch, rows, milliseconds by phase, and observed gauges."""
 
     def __init__(self, write: Callable[[str], object]):
         self.write = write
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.write(json.dumps({"name": p.name, "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "ms": dict(p.durationMs)}))
+        self.write(json.dumps({"name": p.name, "batch": p.batchId, "at": p.timestamp, "rows": p.numInputRows, "ms": dict(p.durationMs), "gauges": {k: v.asDict() for k, v in p.observedMetrics.items()}}))
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         self.write(json.dumps({"name": event.name, "started": event.timestamp}))
