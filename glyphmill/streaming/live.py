@@ -14,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from glyphmill.operators import buckets
 from glyphmill.operators.cluster import merge_batch
-from glyphmill.operators.storage import materialize
+from glyphmill.operators.components import components
+from glyphmill.operators.storage import discard, materialize
 
 
 def arriving_frequency(tf: DataFrame) -> DataFrame:
@@ -92,19 +93,29 @@ class GrowingClusters:
         return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class GrowingChains(GrowingClusters):
-    """Clusters that micro-batches of bucket_meetings extend: a document and its predecessor meet at the predecessor's id.
+class GrowingChains:
+    """Labels (doc_id, cluster) of linked documents that micro-batches of bucket_meetings extend; a cluster is named by its smallest document.
 
-    A micro-batch is written once before it is used, as each use of a stateful one repeats its pass and its gauges."""
+    A micro-batch is written once before it is used, as each use of a stateful one repeats its pass and its gauges. Components are taken
+    of the clusters that its links touch, never of all."""
 
-    def __init__(self, functions: int, labels: DataFrame, edges: DataFrame, on_change: Callable[[DataFrame, int], None] | None = None):
-        super().__init__(labels, edges, on_change)
-        self.functions = functions
+    def __init__(self, functions: int, labels: DataFrame):
+        self.functions, self.labels = functions, labels
 
     def add(self, batch: DataFrame, number: int = 0) -> None:
-        links = materialize(buckets.chains(batch, self.functions), "links")
-        at = F.col("predecessor").cast("string").alias("phrase")
-        super().add(links.select("doc_id", at).union(links.select("predecessor", at)), number)
+        links = materialize(buckets.chains(batch, self.functions).select("doc_id", "predecessor"), "links")
+        ends = links.select("doc_id").union(links.select("predecessor")).distinct()
+        new = ends.join(self.labels, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("cluster"))
+        known = materialize(self.labels.union(new), "labels")
+        a, b = known.toDF("doc_id", "a"), known.toDF("predecessor", "b")
+        roots = materialize(components(links.join(a, "doc_id").join(b, "predecessor").select("a", "b")), "roots")
+        moved = roots.join(roots.groupBy("root").agg(F.min("node").alias("new")), "root").select(F.col("node").alias("cluster"), "new")
+        before = self.labels
+        self.labels = materialize(known.join(moved, "cluster", "left").select("doc_id", F.coalesce("new", "cluster").alias("cluster")), "labels")
+        discard(before, links, known, roots)
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class ProgressLog(StreamingQueryListener):
