@@ -238,6 +238,9 @@ SQL = {
         p AS (SELECT cluster, phrase, count(*) AS k, any_value(size) AS size FROM m GROUP BY cluster, phrase),
         l AS (SELECT cluster, count(*) AS linked FROM (SELECT DISTINCT a.cluster, a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.cluster = b.cluster AND a.phrase = b.phrase AND a.doc_id < b.doc_id) GROUP BY cluster)
         SELECT cluster, any_value(size) AS size, max(k) AS largest_phrase, any_value(linked) = any_value(size) * (any_value(size) - 1) / 2 AS complete FROM p JOIN l USING (cluster) GROUP BY cluster""",
+    "running_tfidf_in_time": f"""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, unnest(regexp_extract_all(concat_ws(' ', event_type, props), '{WS}')) AS phrase FROM events WHERE ts IS NOT NULL),
+        t AS (SELECT event_id, seq, phrase, count(*) AS tf FROM e GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY seq) AS df FROM t)
+        SELECT event_id, phrase, tf, df, round(tf * ln((seq + 1) / df), 6) AS score FROM d""",
     "bucket_chains": f"WITH {_chains('400', 100)} SELECT * FROM ch",
     "bucket_chains_small": f"WITH {_chains('(SELECT greatest(1, count(*) // 100) FROM documents)', 10)} SELECT * FROM ch",
     "bucket_chain_components": f"""WITH RECURSIVE {_chains('400', 100)}, sy AS (SELECT doc_id AS a, predecessor AS b FROM ch UNION SELECT predecessor, doc_id FROM ch),

@@ -667,6 +667,18 @@ def events_sessions(spark: S, d: str) -> T:
     return live.sessions(table(spark, d, "events"))
 
 
+def _events_in_time(spark: S, d: str) -> T:
+    """Words of an event's type and properties, with its position in time."""
+    rows = table(spark, d, "events").where("ts is not null").select("event_id", "ts", F.concat_ws(" ", "event_type", "props").alias("text"))
+    rows = tfidf.numbered(rows, "ts", "event_id").select("event_id", "seq", F.explode(text.words_nonspace(F.col("text"))).alias("phrase"))
+    return rows.groupBy("event_id", "seq", "phrase").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def running_tfidf_in_time(spark: S, d: str) -> T:
+    """Scores of each event's words against the events before it in time."""
+    return tfidf.running_score(tfidf.running_frequency(_events_in_time(spark, d))).select("event_id", "phrase", "tf", "df", "score")
+
+
 def incremental_clusters(spark: S, d: str) -> T:
     """Clusters after the documents came in three batches; equal to those of one pass."""
     edges = materialize(coarse_top_phrases(spark, d).select("doc_id", "phrase").distinct(), "edges")

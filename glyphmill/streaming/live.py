@@ -31,6 +31,53 @@ def arriving_frequency(tf: DataFrame) -> DataFrame:
     return tf.groupBy("phrase").applyInPandasWithState(count, "phrase string, seq long, doc_id long, tf long, df long", "df long", "append", GroupStateTimeout.NoTimeout)
 
 
+class InTime(StatefulProcessor):
+    """A phrase's documents wait until the watermark has passed their time, and are counted in the order of (ts, doc_id) then.
+
+    A timer stands at the earliest waiting time only. What waits is bounded by what arrives within the watermark's delay."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, doc_id long, tf long")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def wait(self, first: int, now: int) -> None:
+        self.handle.registerTimer(max(-(-first // 1000), now + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        self.waiting.appendList(list(zip(new["us"].tolist(), new["doc_id"].tolist(), new["tf"].tolist(), strict=True)))
+        self.wait(int(new["us"].min()), timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in rows if r[0] <= now * 1000]
+        left = rows[len(due):]
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        self.seen.update((seen + len(due),))
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+            self.wait(left[0][0], now)
+        out = [(key[0], *r, seen + i) for i, r in enumerate(due, 1)]
+        yield pd.DataFrame(out, columns=["phrase", "us", "doc_id", "tf", "df"])
+
+    def close(self) -> None:
+        pass
+
+
+def frequency_in_time(tf: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream of (phrase, ts, doc_id, tf) with df: documents that hold the phrase up to this one's time, whenever it arrives within `late`.
+
+    Rows come out once the watermark has passed their time; rows that arrive later than `late`, or have no time or phrase, are dropped. It
+    needs the RocksDB state store."""
+    rows = tf.select("phrase", "ts", F.unix_micros("ts").alias("us"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tf").cast("long").alias("tf")).dropna()
+    out = rows.withWatermark("ts", late).groupBy("phrase").transformWithStateInPandas(InTime(), "phrase string, us long, doc_id long, tf long, df long", "Append", "EventTime")
+    return out.select("phrase", F.timestamp_micros("us").alias("ts"), "doc_id", "tf", "df")
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and sums by window and type; rows later than `late` are dropped by the watermark when the input is a stream."""
     source = events.withWatermark("ts", late) if events.isStreaming else events
