@@ -1,7 +1,11 @@
 import math
 import random
+import types
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +61,31 @@ def test_a_hot_phrase_a_long_text_and_other_lengths(spark):
 def test_no_documents_and_none_with_phrases(spark):
     assert ranked(spark.createDataFrame([], SCHEMA), 0) == {}
     assert ranked(spark.createDataFrame([(1, None, None), (2, "", None), (3, "one two", None)], SCHEMA), 3) == {}
+
+
+def test_only_what_may_matter_is_sorted(monkeypatch):
+    """Phrases with tf and df 1 are cut by their first words before any sort; the result stays that of all phrases."""
+    rng = random.Random(8)
+    texts = [[" ".join(rng.choice(["ab", "b", "cde", "d"]) + str(rng.randrange(400)) for _ in range(rng.randrange(0, 900))).encode()] for _ in range(12)] + [[b"a b c a b c a b c"], [b""]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.list_(pa.binary()))], ["doc_id", "texts"])
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    row = next(distinctive._packed_slabs(iter([batch]))).to_pylist()[0]
+    slab = distinctive.Slab(row, 3, 5)
+    totals = np.array([rng.choice([1, 1, 1, 2]) for _ in np.unique(slab.cells(40))])
+    asked = slab.asked(40, totals)
+    keys = np.unique(slab.questions(asked)[0])
+    counts = np.array([rng.randrange(1, 5) for _ in keys])
+    df = {}
+    for n, at in slab.place.items():
+        for p, key, open_ in zip(at.tolist(), slab.hash[n], asked[n], strict=True):
+            phrase = b" ".join(slab.data.tobytes()[slab.start[j] : slab.end[j]] for j in range(p, p + n))
+            df.setdefault(int(slab.doc[p]), []).append((phrase, int(counts[np.searchsorted(keys, key)]) if open_ else 1))
+    order = lambda rows: sorted(((round((1 + math.log(t)) * (math.log(101 / (1 + f)) + 1), 9), p, t, f) for p, t, f in rows), reverse=True)[:10]
+    want = {d: order([(p, n, f) for (p, f), n in Counter(rows).items()]) for d, rows in df.items()}
+    sorted_rows, upto = [], distinctive._upto
+    monkeypatch.setattr(distinctive, "_upto", lambda group, *rest: sorted_rows.append(len(group)) or upto(group, *rest))
+    got = defaultdict(list)
+    for d, *rest in zip(*slab.best(10, 100, asked, counts), strict=True):
+        got[d].append(rest)
+    assert {d: order(rows) for d, rows in got.items()} == want
+    assert max(sorted_rows) < sum(map(len, df.values())) * 0.8
