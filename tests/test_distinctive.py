@@ -89,3 +89,38 @@ def test_only_what_may_matter_is_sorted(monkeypatch):
         got[d].append(rest)
     assert {d: order(rows) for d, rows in got.items()} == want
     assert max(sorted_rows) < sum(map(len, df.values())) * 0.8
+
+
+def repeated_texts():
+    rng = random.Random(9)
+    draw = lambda n: [rng.choice(["é", "bb", "c", f"x{rng.randrange(40)}"]) for _ in range(n)]
+    passages = [draw(12) for _ in range(6)]
+    rows = [(d, " ".join(draw(rng.randrange(8)) + rng.choice(passages) + draw(rng.randrange(8))), None) for d in range(60)]
+    return [*rows, (3, "one id twice c c c", None), (None, rows[0][1], None), (99, None, None), (100, "c", None)]
+
+
+def test_shared_phrases_are_named_once_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(distinctive, "SLAB_BYTES", 200)
+    rows, df = repeated_texts(), Counter()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for doc in {d for d, *_ in rows}:
+        df.update({p for d, t, _ in rows if d == doc for w in [(t or "").split()] for m in (3, 4, 5) for p in (" ".join(w[i : i + m]) for i in range(len(w) - m + 1))})
+    got = distinctive.shared(docs, F.col("text"))
+    assert sorted(map(tuple, got.collect())) == sorted((p, n) for p, n in df.items() if n > 1)
+    from glyphmill.plans import queries
+
+    assert "phrase" not in "".join(line for line in queries.doc_freq_static(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().splitlines() if "Exchange" in line)
+
+
+def test_filling_phrases_are_those_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(distinctive, "SLAB_BYTES", 200)
+    docs = spark.createDataFrame(repeated_texts(), SCHEMA).repartition(3)
+    n, room = docs.count(), (F.length("text") % 53).cast("int")
+    tokens = docs.select("doc_id", room.alias("n_tokens"))
+    tf = tfidf.term_frequency(tfidf.grams(docs.select("doc_id", F.split("text", " ").alias("w")), 2, 3))
+    df = tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(n))
+    rank = lambda w: sorted(map(tuple, tfidf.prefix_by_length(w.withColumn("weight", F.round("weight", 9)), tokens).collect()))
+    found = distinctive.filling(docs, F.col("text"), n, room)
+    weighted = tfidf.static_weights(tf, df, n, sublinear=False)
+    assert rank(tfidf.weighed(found, n, sublinear=False)) == rank(weighted)
+    assert found.count() < weighted.count() / 2
