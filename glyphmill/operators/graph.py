@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.spectral import singular_vectors as singular_vectors
-from glyphmill.operators.storage import materialize
+from glyphmill.operators.storage import discard, materialize
 from glyphmill.operators.tfidf import numbered
 
 
@@ -157,22 +157,32 @@ def svd_clusters(presence: DataFrame, rounds: int | None = None, tolerance: floa
     """presence (doc_id, phrase): (round, doc_id) of documents on the leading singular vector, found again after they are taken out.
 
     Without `rounds` it goes on until every document is placed; each round places one at least. The leading vector comes from power
-    iteration by joins and sums, so no matrix is gathered."""
-    rest = presence.distinct()
+    iteration by joins and sums, so no matrix is gathered. A phrase of one document has that document's value, so these phrases, most of
+    all, are only counted; the others are numbers in the joins. Rows with a null are left out."""
+    presence = materialize(presence.dropna(subset=["doc_id", "phrase"]).select("doc_id", "phrase").distinct(), "presence")
+    ids = materialize(presence.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase", F.monotonically_increasing_id().alias("p")), "phrase-ids")
+    linked = materialize(presence.join(ids, "phrase").select("doc_id", "p"), "linked")
+    counts = presence.select("doc_id", F.lit(1).alias("n"), F.lit(1).alias("own")).union(linked.select("doc_id", F.lit(0), F.lit(-1)))
+    docs = materialize(counts.groupBy("doc_id").agg(F.sum("n").cast("double").alias("n"), F.sum("own").alias("own")), "documents")
+    discard(presence, ids)
     out = None
     for r in range(rounds) if rounds is not None else itertools.count():
-        rest = materialize(rest, "presence")
-        if rest.isEmpty():
+        if docs.isEmpty():
             break
-        v = rest.select("phrase").distinct().withColumn("v", F.lit(1.0))
+        u = docs.select("doc_id", "own", F.col("n").alias("u"))
         for _ in range(8):
-            u = rest.join(v, "phrase").groupBy("doc_id").agg(F.sum("v").alias("u"))
-            v = materialize(_scaled(rest.join(u, "doc_id").groupBy("phrase").agg(F.sum("u").alias("v")), "v"), "power")
-        u = materialize(_scaled(rest.join(v, "phrase").groupBy("doc_id").agg(F.sum("v").alias("u")), "u"), "power")
-        found = u.where(F.col("u") > tolerance ** 0.5).select(F.lit(r).alias("round"), "doc_id")
+            v, before = materialize(linked.join(u.select("doc_id", "u"), "doc_id").groupBy("p").agg(F.sum("u").alias("v")), "power"), u
+            top = v.select("v").union(u.where("own > 0").select("u")).agg(F.max(F.abs("v"))).first()[0]
+            shared = linked.join(v, "p").groupBy("doc_id").agg(F.sum("v").alias("s"))
+            u = u.join(shared, "doc_id", "left").select("doc_id", "own", ((F.coalesce("s", F.lit(0.0)) + F.col("own") * F.col("u")) / top).alias("u"))
+            u = materialize(u, "power")
+            discard(v, before)
+        found = materialize(_scaled(u, "u").where(F.col("u") > tolerance ** 0.5).select(F.lit(r).alias("round"), "doc_id"), "placed")
         out = found if out is None else out.union(found)
-        rest = rest.join(found.select("doc_id"), "doc_id", "left_anti")
-    return out if out is not None else rest.select(F.lit(0).alias("round"), "doc_id").limit(0)
+        old = docs, linked, u
+        docs, linked = (materialize(x.join(found.select("doc_id"), "doc_id", "left_anti"), "rest") for x in (docs, linked))
+        discard(*old)
+    return out if out is not None else docs.select(F.lit(0).alias("round"), "doc_id").limit(0)
 
 
 def _scaled(df: DataFrame, c: str) -> DataFrame:

@@ -41,3 +41,24 @@ def test_copies_of_a_graph_have_equal_values(spark):
 def test_no_edges(spark):
     sigma, u = graph.singular_vectors(spark.createDataFrame([], "src long, dst long"), 3)
     assert sigma.count() == u.count() == 0
+
+
+def test_phrases_of_one_document_are_counted_not_joined(spark, monkeypatch):
+    rows = [(d, f"g{d // 5}-{j}") for d in range(20) for j in range(1 + d // 5)] + [(d, f"own{d}-{j}") for d in range(22) for j in range(d % 7)] + [(None, "x"), (3, None)]
+    docs, phrases = sorted({d for d, p in rows if d is not None and p}), sorted({p for d, p in rows if d is not None and p})
+    a, want, r = np.array([[(d, p) in rows for p in phrases] for d in docs], float), {}, 0
+    while len(want) < len(docs):
+        left = [i for i, d in enumerate(docs) if d not in want]
+        m = a[left][:, a[left].any(axis=0)]
+        v = np.ones(m.shape[1])
+        for _ in range(8):
+            v = m.T @ (m @ v)
+            v /= v.max()
+        u = m @ v
+        want |= {docs[i]: r for i, x in zip(left, u / u.max(), strict=True) if x > 1e-3}
+        r += 1
+    sizes, write = {}, graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: sizes.setdefault(name, df.count()) and None or write(df, name))
+    got = graph.svd_clusters(spark.createDataFrame(rows, "doc_id long, phrase string")).collect()
+    assert {x.doc_id: x.round for x in got} == want and len(got) == len(docs)
+    assert sizes["linked"] == sum(1 + d // 5 for d in range(20))
