@@ -44,9 +44,13 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB13311
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    y = x >> _U(30)  # the one array that is made, beside one for each of the later shifts
+    y ^= x
+    y *= _U(0xBF58476D1CE4E5B9)
+    y ^= y >> _U(27)
+    y *= _U(0x94D049BB133111EB)
+    y ^= y >> _U(31)
+    return y
 
 
 def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -62,8 +66,11 @@ def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
     n = len(h) - width + 1
     total = h[:n] * _MULTIPLIERS[0]
     for i in range(1, width):
-        total = _mixed(total) + h[i : i + n] * _MULTIPLIERS[i % 8]
-    return np.unique(_mixed(total))
+        total = _mixed(total)
+        total += h[i : i + n] * _MULTIPLIERS[i % 8]
+    total = _mixed(total)
+    total.sort()  # numpy's unique() hashes first, which takes four times as long
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -95,30 +102,47 @@ def partitions(band: int, percent: int) -> int:
     return max(64 if band in PAIRED else 16, int(0.85 * 2**band), differ + 1)
 
 
-def signatures(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set in its own band and, if smaller sets of the band below can be similar enough, in that one."""
+def _filter(hot: np.ndarray) -> np.ndarray:
+    """Which of 2^20 leading bits the shingles of `hot` have, by the places from 2^44 on."""
+    out = np.zeros(1 << 20, bool)
+    out[hot >> _U(44)] = True
+    return out
+
+
+def _frequent(s: np.ndarray, hot: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of `s` are in the sorted `hot`, which is searched for those only whose leading bits it has."""
+    out = bits[s >> _U(44)]
+    maybe = s[out]
+    out[out] = hot[np.minimum(np.searchsorted(hot, maybe), len(hot) - 1)] == maybe
+    return out
+
+
+def signatures(s: np.ndarray, hot: np.ndarray, percent: int, bits: np.ndarray | None = None) -> np.ndarray:
+    """The signatures of a set in its own band and, if smaller sets of the band below can be similar enough, in that one.
+
+    `bits` is _filter(hot), made once by those who have many sets."""
     n = len(s)
     if not n:
         return np.empty(0, _U)
     band = n.bit_length() - 1
     largest = n * 100 // percent  # sizes of similar sets: from n * percent / 100 to this
-    out = [_signatures(s, hot, band, percent, (100 - percent) * (n + largest) // (100 + percent))]
+    often = _frequent(s, hot, _filter(hot) if bits is None else bits) if len(hot) else None
+    value = _mixed(s ^ _MULTIPLIERS[5])
+    out = [_signatures(value, often, band, percent, (100 - percent) * (n + largest) // (100 + percent))]
     if n * percent < 100 * 2**band and band:
-        out.append(_signatures(s, hot, band - 1, percent, (100 - percent) * (n + 2**band - 1) // (100 + percent)))
+        out.append(_signatures(value, often, band - 1, percent, (100 - percent) * (n + 2**band - 1) // (100 + percent)))
     return np.concatenate(out)
 
 
-def _signatures(s: np.ndarray, hot: np.ndarray, band: int, percent: int, k: int) -> np.ndarray:
+def _signatures(value: np.ndarray, often: np.ndarray | None, band: int, percent: int, k: int) -> np.ndarray:
     total = partitions(band, percent)
-    value = _mixed(s ^ _MULTIPLIERS[5])
-    part = ((value >> _U(33)) % _U(total)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    part = ((value >> _U(33)) % _U(total)).astype(np.uint16 if total < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")  # by radix where there are 16 bits
     part = part[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(part) != 0])
-    sums, index = np.add.reduceat(value[order], starts), part[starts]
-    if len(hot):
-        frequent = hot[np.minimum(np.searchsorted(hot, s[order]), len(hot) - 1)] == s[order]
-        last = np.logical_and.reduceat(frequent, starts)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    sums, index = np.add.reduceat(value[order], starts), part[starts].astype(np.int64)
+    if often is not None and often.any():
+        last = np.logical_and.reduceat(often[order], starts)
         first = np.r_[np.flatnonzero(~last), np.flatnonzero(last)]
         sums, index = sums[first], index[first]
     single = _mixed(sums + _mixed((index.astype(_U) + _U(1)) * _MULTIPLIERS[6] + _U(band)))
@@ -144,7 +168,9 @@ def _describe(width: int) -> Callable:
                 sets = [shingles(t, width) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int64())], names)
-                seen, counts = np.unique(np.concatenate(sets), return_counts=True)
+                every = np.sort(np.concatenate(sets))
+                starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+                seen, counts = every[starts], np.diff(np.r_[starts, len(every)])
                 often = np.flatnonzero(counts >= max(4, n // 2500))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(often), part.column(0).type), *[pa.nulls(len(often), pa.int64())] * 2, pa.array(seen[often].astype(np.int64)), pa.nulls(len(often), pa.binary()), pa.array(counts[often].astype(np.int64))], names)
 
@@ -277,7 +303,8 @@ def _shared(source: DataFrame, described: DataFrame, nodes: DataFrame, width: in
     Limits here change the order of signatures, and who writes those of many equal documents, but not what is found."""
     spark = source.sparkSession
     often = described.where("hot is not null").groupBy("key").agg(F.sum("hot").alias("hot")).where("hot >= 32").orderBy(F.desc("hot"), "key").limit(hot_size).collect()
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in often], np.int64).astype(_U)))
+    frequent = np.sort(np.array([r["key"] for r in often], np.int64).astype(_U))
+    hot = spark.sparkContext.broadcast((frequent, _filter(frequent)))
     copied = nodes.where("copies > 20 and rep is not null").orderBy(F.desc("copies"), "key").limit(hot_size).select("key", F.col("rep").cast("string").alias("rep")).collect()
     reps = spark.sparkContext.broadcast({r["key"]: r["rep"] for r in copied})  # large groups of copies: only one writes signatures
 
@@ -290,7 +317,7 @@ def _shared(source: DataFrame, described: DataFrame, nodes: DataFrame, width: in
                     if len(s):
                         key = set_key(s)
                         if reps.value.get(key, str(doc)) == str(doc):
-                            sigs.append(signatures(s, hot.value, percent))
+                            sigs.append(signatures(s, hot.value[0], percent, hot.value[1]))
                             keys.append(key)
                             sizes.append(len(sigs[-1]))
                 if sigs:

@@ -257,3 +257,21 @@ def test_vector_edges(spark):
     only = spark.createDataFrame([(5, None), (None, [1.0]), (5, [1.0])], "vec_id long, embedding array<float>")
     got = sorted(map(repr, map(tuple, vector_join.vector_components(only).collect())))
     assert got == sorted(map(repr, [(5, 0, 5, True), (None, 1, 5, False), (5, 1, 5, True)]))
+
+
+def test_frequent_shingles_are_searched_for_by_their_leading_bits_only(monkeypatch):
+    rng = np.random.default_rng(8)
+    hot = np.sort(rng.integers(0, 2**64, 2000, np.uint64))
+    s = np.unique(np.r_[rng.integers(0, 2**64, 5000, np.uint64), hot[::7], hot[:50] ^ np.uint64(1)])
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: searched.append(len(v)) or search(a, v))
+    found = jaccard_join._frequent(s, hot, jaccard_join._filter(hot))
+    assert found.tolist() == np.isin(s, hot).tolist() and 300 < sum(searched) < 600
+    assert jaccard_join.signatures(s, hot, 75).tolist() == jaccard_join.signatures(s, hot, 75, jaccard_join._filter(hot)).tolist()
+
+
+def test_shingles_are_distinct_and_sorted():
+    for text in (b"a b c d e a b c d e a b", b"a", b"", None, b"x " * 40, b"q w e r t y"):
+        s = jaccard_join.shingles(text)
+        assert s.tolist() == sorted(set(s.tolist()))
+        assert len(s) == {12: 5, 1: 1, 0: 0, 40: 1, 6: 2}[len((text or b"").split())]
