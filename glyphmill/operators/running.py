@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from glyphmill.operators.distinctive import PART_KEYS, Slab, _by_documents, _keyed, _pack, _packed_slabs, _unpack, _upto
+from glyphmill.operators.distinctive import _SLABS, PART_KEYS, Slab, _by_documents, _keyed, _pack, _packed_slabs, _unpack, _upto
 from glyphmill.operators.storage import discard, materialize
 
 CLOSE = 2e-6
@@ -84,10 +84,8 @@ def packed(docs: DataFrame, words: Column, length: int) -> Packed:
     """The words (an array of strings without ASCII spaces) of the rows of `docs` in the order of doc_id; each row is a document."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.array(F.array_join(words, " ").cast("binary")).alias("texts"))
-    kind = docs.schema["doc_id"].dataType
-    schema = f"slab long, ids array<{kind.simpleString()}>, data binary, size long, ends binary, owners binary, n_words long"
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    made = materialize(ordered.mapInArrow(_packed_slabs, schema), "ordered-slabs")
+    made = materialize(ordered.mapInArrow(_packed_slabs, _SLABS.format(kind=docs.schema["doc_id"].dataType.simpleString())), "ordered-slabs")
     sizes = made.select("slab", F.size("ids").cast("long").alias("n"))  # a row a slab
     first = F.sum("n").over(Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     total = made.agg(F.sum("n_words").alias("words"), F.sum(F.size("ids")).alias("docs")).first()

@@ -47,3 +47,10 @@ def test_frequencies_equal_brute_force(spark):
         rows = spark.createDataFrame(sorted(want), "doc_id long, seq long, phrase string, tf long, df long")
         best = lambda df: {tuple(r) for r in tfidf.top_running(tfidf.running_score(df), 4).select("doc_id", "place", "phrase", "tf", "df", "score").collect()}
         assert best(running.frequencies(of, mode, 4, running.batches)) == best(rows)
+
+
+def test_slabs_hold_what_was_packed(spark):
+    docs = spark.createDataFrame([(3, "a b c"), (1, "a b c d")], "doc_id long, text string")
+    rows = running.packed(docs, F.split("text", " "), 3).slabs.orderBy("first").collect()
+    assert [d for r in rows for d in r["ids"]] == [1, 3] and sum(r["n_words"] for r in rows) == 7
+    assert [x for r in rows for x in r["rooms"]] == [0, 0]
