@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from glyphmill.operators import graph, spectral
+from glyphmill.plans import queries
 
 
 def matrix(edges, n):
@@ -62,3 +63,14 @@ def test_phrases_of_one_document_are_counted_not_joined(spark, monkeypatch):
     got = graph.svd_clusters(spark.createDataFrame(rows, "doc_id long, phrase string")).collect()
     assert {x.doc_id: x.round for x in got} == want and len(got) == len(docs)
     assert sizes["linked"] == sum(1 + d // 5 for d in range(20))
+
+
+def test_suppliers_are_linked_by_any_two_lines_of_an_order(spark, monkeypatch):
+    lines = [(1, 1, 10), (1, 2, 20), (1, 4, 30), (1, 5, 10), (2, 7, 40), (2, 3, 50), (3, 1, 60), (None, 1, 70), (None, 2, 80), (4, 1, None), (4, 2, 90)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long")
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: rows)
+    want = {(s, t) for o, m, s in lines for p, n, t in lines if o is not None and o == p and m < n and None not in (s, t) and s != t}
+    got = [tuple(r) for r in queries._order_graph(spark, "").collect()]
+    assert len(got) == len(want) and set(got) == want
+    ids = sorted({i for edge in want for i in edge})
+    assert {(ids[r.src], ids[r.dst]) for r in queries._supplier_sample(spark, "").collect()} == want
