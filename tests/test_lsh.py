@@ -6,9 +6,12 @@ from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators import lsh
+from glyphmill.functions import text
+from glyphmill.operators import lsh, tfidf
+from glyphmill.plans import queries
 
 
 def exchanges(df):
@@ -102,3 +105,18 @@ def test_chains_of_a_thousand_documents_take_seconds():
     for r in rows:
         state.arrive(np.frombuffer(r["places"], np.uint16).reshape(-1, 128), np.array(r["times"]))
     assert time.process_time() - began < 20  # place by place it is 128,000 steps a document
+
+
+def test_second_variant_shuffles_no_table_of_phrases(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(lsh, "chain_clusters", lambda top, **settings: top)
+    top = queries.lsh_chain_clusters_v2(spark, sf)
+    assert not [keys for keys in exchanges(top) if "phrase" in keys]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.words2(text.clean_ascii("text")).alias("w"))
+    n, tf = docs.count(), tfidf.term_frequency(tfidf.grams(docs, 5, 5))
+    weighted = tfidf.static_weights(tf, tfidf.pruned_vocabulary(tfidf.document_frequency(tf), F.lit(n)), n).withColumn("weight", F.round("weight", 9))
+    own = Window.partitionBy("doc_id")
+    ranked = weighted.withColumn("rank", F.row_number().over(own.orderBy(F.desc("weight"), F.desc("phrase")))).withColumn("k", F.count(F.lit(1)).over(own))
+    want = {tuple(r) for r in ranked.where("rank <= floor(k / 5)").select("doc_id", "rank", "phrase").collect()}
+    got = [tuple(r) for r in top.collect()]
+    assert want and len(got) == len(want) and set(got) == want
